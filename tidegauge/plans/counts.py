@@ -20,8 +20,8 @@ def long_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     reject_nested(df, columns)
     names = list(columns)
     as_strings = df.select(*[as_text(df, n).alias(f"v{i}") for i, n in enumerate(names)])
-    pairs = ", ".join(f"'{_quoted(n)}', v{i}" for i, n in enumerate(names))
-    return as_strings.select(F.expr(f"stack({len(names)}, {pairs}) AS (column, value)"))
+    pairs = [part for i, n in enumerate(names) for part in (F.lit(n), F.col(f"v{i}"))]
+    return as_strings.select(F.stack(F.lit(len(names)), *pairs).alias("column", "value"))
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -29,12 +29,8 @@ def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     names = list(columns)
     carried = [c(k) for k in keep]
     doubles = df.select(*carried, *[present(df, n).cast("double").alias(f"__v{i}") for i, n in enumerate(names)])
-    pairs = ", ".join(f"'{_quoted(n)}', __v{i}" for i, n in enumerate(names))
-    return doubles.select(*carried, F.expr(f"stack({len(names)}, {pairs}) AS (column, value)"))
-
-
-def _quoted(name: str) -> str:
-    return name.replace("\\", "\\\\").replace("'", "\\'")
+    pairs = [part for i, n in enumerate(names) for part in (F.lit(n), F.col(f"__v{i}"))]
+    return doubles.select(*carried, F.stack(F.lit(len(names)), *pairs).alias("column", "value"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ HOT_KEYS = 1_000
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; unknown sizes count as unbounded."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return 2**63 - 1
 
@@ -49,6 +49,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """Compute an aggregate once: later reads reuse it and its true size becomes known."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 def attach(big: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str | None = None) -> DataFrame:
     """Left join a one-row-per-key lookup to row-level data without a hot task.
 
@@ -58,7 +65,7 @@ def attach(big: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str | N
     """
     on = list(on)
     lookup = lookup.persist()
-    if len(lookup.select(*[c(k) for k in on]).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+    if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         payload = lookup.drop(weight) if weight else lookup
         return big.join(F.broadcast(payload), on, "left")
     return _attach_large(big, lookup, on, weight)
