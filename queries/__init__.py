@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pivoting",)
+MODULES = ("pivoting", "profiling")
 
 
 def _collect(name: str) -> dict:
