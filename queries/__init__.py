@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pivoting", "profiling")
+MODULES = ("pivoting", "profiling", "reconciling")
 
 
 def _collect(name: str) -> dict:
