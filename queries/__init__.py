@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pivoting", "profiling", "reconciling", "associating")
+MODULES = ("pivoting", "profiling", "reconciling", "associating", "forecasting")
 
 
 def _collect(name: str) -> dict:
