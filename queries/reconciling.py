@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from queries.profiling import GRADED_SQL, graded, k0_sql, rounded
@@ -15,6 +13,7 @@ from tidegauge.operators.ingest import ingest
 from tidegauge.operators.merge import merge, unmatched
 from tidegauge.operators.quality import route_pipeline_warnings
 from tidegauge.operators.typing import cast_types, semantic_types
+from tidegauge.plans.sizing import shared_path
 from tidegauge.sources import store
 from tidegauge.sources.delimited import read_delimited, read_report, sniff
 
@@ -35,7 +34,7 @@ def merge_agreeing(spark, sf_dir):
 
 
 def csv_copy(spark, sf_dir, name, columns, separator=";", encoding="UTF-8"):
-    path = store.shared_scratch(spark, "extract")
+    path = shared_path(spark, "extract")
     store.save_text(table(spark, sf_dir, name).select(*columns).coalesce(1), path, separator, encoding)
     return path
 
@@ -69,7 +68,7 @@ def ingest_pair(spark, sf_dir):
         F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("Type"), F.col("o_totalprice").alias("DaysInDeposit"))
     paths = []
     for frame, separator in ((left, ";"), (right, "|")):
-        paths.append(store.shared_scratch(spark, "extract"))
+        paths.append(shared_path(spark, "extract"))
         store.save_text(frame, paths[-1], separator)
     flow = ingest(spark, *paths)
     return flow.merged.groupBy("Type", "Quality").agg(
@@ -101,7 +100,7 @@ def compared_categories(spark, sf_dir):
 
 
 def saved_and_loaded(spark, sf_dir):
-    path = store.shared_scratch(spark, "dataset")
+    path = shared_path(spark, "dataset")
     store.save_dataset(graded(spark, sf_dir), path, {"source": "graded"}, period="lang")
     loaded, _ = store.load_dataset(spark, path)
     return loaded.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

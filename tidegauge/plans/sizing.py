@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,9 +45,20 @@ def checkpoint_ready(spark: SparkSession) -> None:
         raise RuntimeError("Set spark.checkpoint.dir to a shared folder before running iterative operators")
 
 
+def shared_path(spark: SparkSession, purpose: str) -> str:
+    """Fresh folder under the shared checkpoint location of the session."""
+    checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage through a table in the shared checkpoint folder.
+
+    The plan runs once, survives lost executors from here on, and its true size is known.
+    """
+    path = shared_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialised(df: DataFrame) -> DataFrame:

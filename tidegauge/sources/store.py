@@ -3,24 +3,16 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import c
-from tidegauge.plans.sizing import checkpoint_ready
 
 MAX_PREVIEW = 200
 SAMPLE_ROWS = 8
 
 
-def shared_scratch(spark: SparkSession, purpose: str) -> str:
-    """Fresh folder under the shared checkpoint location of the session."""
-    checkpoint_ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def save_table(df: DataFrame, path: str, period: str | None = None) -> None:
     """Columnar sink; a period column becomes the partition folder so period filters prune files."""
     writer = df.write.mode("overwrite")
