@@ -27,19 +27,26 @@ def same(a, b):
 
 
 def test_ordered_counts(skewed, monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 300)
+    monkeypatch.setattr(ordered, "MANY_SLICES", 20)
     one, many = (ordered.ordered_counts(skewed, ["k"], "v", small=s).select("k", "v", "n", "before", "total") for s in (True, False))
     assert same(one, many)
     assert same(*(ordered.ordered_counts(skewed, [], "v", small=s).select("v", "n", "before", "total") for s in (True, False)))
 
 
 def test_quantiles(skewed, monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 300)
+    monkeypatch.setattr(ordered, "MANY_SLICES", 20)
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.975, "e": 1.0}
     one, many = (ordered.quantiles(skewed, ["k"], "v", probs, small=s).orderBy("k").collect() for s in (True, False))
     assert [r["k"] for r in one] == [r["k"] for r in many]
     for a, b in zip(one, many):
         assert [a[p] for p in probs] == pytest.approx([b[p] for p in probs])
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 2)
+    beyond = ordered.quantiles(skewed, ["k"], "v", probs, small=False).orderBy("k").collect()
+    assert [r["d"] for r in beyond] == pytest.approx([r["d"] for r in one])
+    monkeypatch.undo()
+    nulls = skewed.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    grouped = {r["k"]: r["c"] for r in ordered.quantiles(nulls, ["k"], "v", probs, small=False).collect()}
+    assert grouped == pytest.approx({r["k"]: r["c"] for r in nulls.groupBy("k").agg(F.percentile("v", 0.5).alias("c")).collect()})
     weighted = skewed.groupBy("k", "v").agg(F.count("*").alias("w"))
     again = ordered.quantiles(weighted, ["k"], "v", probs, weight="w", small=False).orderBy("k").collect()
     assert [r["c"] for r in again] == pytest.approx([r["c"] for r in one])

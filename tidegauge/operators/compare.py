@@ -35,7 +35,7 @@ def split_shared(in_df: DataFrame, out_df: DataFrame, counts: tuple[DataFrame, D
 def compare_numeric(in_df: DataFrame, out_df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median, deviation and range of each column on both sides."""
     def side(df: DataFrame, prefix: str) -> DataFrame:
-        stats = numeric_summary(df, columns)
+        stats = numeric_summary(df, columns, shape=False)
         named = {"mean": "mean", "p50": "median", "std": "std", "min": "min", "max": "max"}
         return stats.select("column", *[F.col(k).alias(f"{prefix}_{v}") for k, v in named.items()])
 

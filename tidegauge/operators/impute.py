@@ -92,7 +92,7 @@ def imputation_report(df: DataFrame, roles: Roles = Roles(), plan: list[tuple] |
 def _limits(df: DataFrame, names: Sequence[str]) -> list[dict]:
     """Fences, median and median deviation per varying column: two exact quantile passes."""
     small = is_small(df)
-    stats = [r.asDict() for r in numeric_summary(df, names, small).collect()]
+    stats = [r.asDict() for r in numeric_summary(df, names, small, shape=False).collect()]
     stats = [s for s in stats if s["n"] and s["min"] != s["max"]]
     if not stats:
         return []

@@ -26,7 +26,7 @@ class TargetOverview:
 
 def target_stats(df: DataFrame, target: str) -> DataFrame:
     only = df.select(as_number(df, target).alias(target))
-    return numeric_summary(only, [target]).select("n", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return numeric_summary(only, [target], shape=False).select("n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def target_overview(df: DataFrame, target: str, roles: Roles = Roles()) -> TargetOverview:

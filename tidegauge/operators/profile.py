@@ -18,7 +18,7 @@ from tidegauge.functions.columns import (
 )
 from tidegauge.plans.counts import column_summary, long_numbers, top_values, value_counts
 from tidegauge.plans.ordered import QUARTILES, quantiles
-from tidegauge.plans.sizing import attach, is_small, materialised, rows_of
+from tidegauge.plans.sizing import attach, is_small, is_tiny, materialised, rows_of
 
 PROFILE_SCHEMA = (
     "column string, n bigint, mean double, std double, variance double, min double, max double, "
@@ -26,64 +26,65 @@ PROFILE_SCHEMA = (
 )
 
 
-def adjusted_skewness(value: Column, n: Column) -> Column:
+def adjusted_skewness(value: Column, n: Column, flat: Column) -> Column:
     """Sample skewness with the small-sample correction; zero when the data do not vary."""
-    raw = F.when(F.var_pop(value) == 0, F.lit(0.0)).otherwise(F.skewness(value))
+    raw = F.when(flat, F.lit(0.0)).otherwise(F.skewness(value))
     return F.when(n > 2, F.try_divide(raw * F.sqrt(n * (n - 1.0)), n - 2.0))
 
 
-def adjusted_kurtosis(value: Column, n: Column) -> Column:
-    raw = F.kurtosis(value)
-    corrected = F.try_divide(n - 1.0, (n - 2.0) * (n - 3.0)) * ((n + 1.0) * raw + 6.0)
-    return F.when((n > 3) & (F.var_pop(value) == 0), F.lit(0.0)).when(n > 3, corrected)
+def adjusted_kurtosis(value: Column, n: Column, flat: Column) -> Column:
+    corrected = F.try_divide(n - 1.0, (n - 2.0) * (n - 3.0)) * ((n + 1.0) * F.kurtosis(value) + 6.0)
+    return F.when((n > 3) & flat, F.lit(0.0)).when(n > 3, corrected)
 
 
-def _moments(value: Column) -> list[Column]:
-    n = F.count(value)
+def _moments(value: Column, shape: bool = True) -> list[Column]:
+    """Moments from few accumulators; ``shape`` adds the third and fourth."""
+    n, flat, variance = F.count(value), F.min(value) == F.max(value), F.var_samp(value)
+    none = F.lit(None).cast("double")
     return [
         n.alias("n"),
         F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.var_samp(value).alias("variance"),
+        F.sqrt(variance).alias("std"),
+        variance.alias("variance"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        adjusted_skewness(value, n).alias("skewness"),
-        adjusted_kurtosis(value, n).alias("kurtosis"),
+        (adjusted_skewness(value, n, flat) if shape else none).alias("skewness"),
+        (adjusted_kurtosis(value, n, flat) if shape else none).alias("kurtosis"),
     ]
 
 
-MOMENTS = ("n", "mean", "std", "variance", "min", "max", "skewness", "kurtosis")
-
-
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, small: bool | None = None) -> DataFrame:
+def numeric_summary(
+    df: DataFrame, columns: Sequence[str] | None = None, small: bool | None = None, shape: bool = True
+) -> DataFrame:
     """Moments and quartiles per numeric column, missing values skipped.
 
-    Moments come from one map-side aggregate without a shuffle of rows. Quartiles join the same
-    aggregate on small inputs; beyond that they come from the sliced order statistics.
+    Moments come from one map-side aggregate without a shuffle of rows; quartiles from the order
+    statistics of all columns at once. ``shape`` off leaves skewness and kurtosis NULL.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     if not names:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     if small is None:
         small = is_small(df)
+    inline = small and is_tiny(df)
     aggregates = []
     for i, name in enumerate(names):
         value = present(df, name).cast("double")
-        fields = _moments(value)
-        if small:
+        fields = _moments(value, shape)
+        if inline:
             every = F.percentile(value, F.array(*[F.lit(p) for p in QUARTILES.values()]))
             fields += [every[j].alias(q) for j, q in enumerate(QUARTILES)]
         aggregates.append(F.struct(F.lit(name).alias("column"), *fields).alias(f"s{i}"))
     summary = rows_of(df.agg(*aggregates), [F.col(f"s{i}") for i in range(len(names))])
-    if small:
+    if inline:
         return summary
-    quartiles = quantiles(long_numbers(df, names), ["column"], "value", QUARTILES, small=False)
+    quartiles = quantiles(long_numbers(df, names), ["column"], "value", QUARTILES, small=small)
     return summary.join(F.broadcast(quartiles), "column", "left")
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation and five-number summary."""
-    rows = numeric_summary(df, columns)
+    rows = numeric_summary(df, columns, shape=False)
     return rows.filter(F.col("n") > 0).select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -123,7 +124,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, summary: Data
     """Automatic equal-width histogram of each numeric column, empty bins included."""
     names = list(columns) if columns is not None else numeric_columns(df)
     if summary is None:
-        summary = numeric_summary(df, names)
+        summary = numeric_summary(df, names, shape=False)
     layout = materialised(histogram_layout(summary))  # one row per column
     guess = F.least(
         F.floor((F.col("value") - F.col("low")) * (F.col("bins") / (F.col("high") - F.col("low")))),

@@ -13,6 +13,8 @@ from tidegauge.functions.columns import c
 
 SMALL_BYTES_KEY = "spark.tidegauge.smallBytes"
 SMALL_BYTES = 32 * 1024 * 1024
+TINY_BYTES = 1024 * 1024
+UNKNOWN_BYTES = 2**63 - 1
 BROADCAST_ROWS = 100_000
 HOT_KEYS = 1_000
 
@@ -22,7 +24,7 @@ def estimated_bytes(df: DataFrame) -> int:
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
-        return 2**63 - 1
+        return UNKNOWN_BYTES
 
 
 def is_small(df: DataFrame) -> bool:
@@ -31,6 +33,11 @@ def is_small(df: DataFrame) -> bool:
     return estimated_bytes(df) <= limit
 
 
+def is_tiny(df: DataFrame) -> bool:
+    """Small enough to keep every distinct value inside one aggregate buffer."""
+    return estimated_bytes(df) <= TINY_BYTES
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Use the shared checkpoint folder of the session; make one only in local mode."""
     sc = spark.sparkContext
