@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.profiling import k0_sql, rounded
-from queries.reconciling import SIDE_ROLES
+from queries.reconciling import SIDE_ROLES, returned
 from queries.tables import FLOW_ROLES, FLOW_SQL, SIDES_SQL, arrivals, departures, flow
 from tidegauge.operators import bundle as B
 from tidegauge.operators import cluster as K
@@ -66,6 +66,11 @@ def compared(part):
     return lambda spark, sf_dir: rounded(getattr(B.compare_sources(arrivals(spark, sf_dir).drop("k"), departures(spark, sf_dir).drop("k")), part), digits=6)
 
 
+def compared_flags(spark, sf_dir):
+    columns = ["l_linestatus", "l_linenumber", "l_quantity"]
+    return B.compare_sources(returned(spark, sf_dir, "A").select(*columns), returned(spark, sf_dir, "R").select(*columns)).categorical
+
+
 def facts(spark, sf_dir):
     found = B.build_bundle(arrivals(spark, sf_dir).drop("segment"), departures(spark, sf_dir), SIDE_ROLES)
     return found.facts.select("position", "fact")
@@ -83,7 +88,7 @@ QUERIES = {
     "explore_metrics_flow": exploration("global_metrics"),
     "explore_describe_flow": exploration("describe"),
     "compare_sources_numeric": compared("numeric"),
-    "compare_sources_categories": compared("categorical"),
+    "compare_sources_categories": compared_flags,
     "bundle_facts": facts,
 }
 
@@ -135,7 +140,10 @@ SQL = {
 def _bundle_sql():
     from queries.reconciling import SQL as OTHER
 
-    return {"compare_sources_numeric": OTHER["compare_numeric"]}
+    return {
+        "compare_sources_numeric": OTHER["compare_numeric"],
+        "compare_sources_categories": f"SELECT * FROM ({OTHER['compare_categories']}) WHERE \"column\" <> 'l_quantity'",
+    }
 
 
 SQL.update(_bundle_sql())
