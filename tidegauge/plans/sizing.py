@@ -13,7 +13,7 @@ from tidegauge.functions.columns import c
 
 SMALL_BYTES_KEY = "spark.tidegauge.smallBytes"
 SMALL_BYTES = 32 * 1024 * 1024
-TINY_BYTES = 1024 * 1024
+TINY_BYTES = 8 * 1024 * 1024
 UNKNOWN_BYTES = 2**63 - 1
 BROADCAST_ROWS = 100_000
 HOT_KEYS = 1_000
