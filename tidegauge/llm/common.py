@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.plans.sizing import checkpointed, shared_path
 
 __all__ = [
-    "SPACE", "WORD", "broadcast_if_small", "checkpointed", "components", "let", "numbered", "shared_path", "table",
+    "SPACE", "WORD", "broadcast_if_small", "checkpointed", "components", "let", "numbered", "shared_path", "staged", "table",
     "text_of", "words_of",
 ]
 
@@ -91,3 +91,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def passthrough(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in df.columns if n not in names]
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``checkpointed`` with stronger compression, for wide payloads."""
+    path = shared_path(df.sparkSession, "stage")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import oracle
-from tidegauge.llm.common import table
+from tidegauge.llm.common import shared_path, table
 from tidegauge.llm.exact_dedup import exact_groups
 from tidegauge.llm.line_frequency import line_quality
 from tidegauge.llm.mixing import mix
+from tidegauge.llm.packing import pack
+from tidegauge.llm.simhash import simhash_components
+from tidegauge.llm.token_counts import count_tokens
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of its own for each run, so that every run encodes all distinct texts."""
+    cache = shared_path(spark, "token-cache")
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("__row")
 
@@ -25,6 +43,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_mixing": op10_mixing,
 }
