@@ -13,6 +13,7 @@ from tidegauge.llm.mixing import mix
 from tidegauge.llm.packing import pack
 from tidegauge.llm.simhash import simhash_components
 from tidegauge.llm.token_counts import count_tokens
+from tidegauge.llm.warc import warc_round_trip
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("__row")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("__row", "h")
 
@@ -47,10 +52,12 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op10_mixing": op10_mixing,
 }
 
 SQL = {
     "op1_line_frequency": oracle.LINE_QUALITY,
     "op7_exact_dedup": oracle.EXACT_GROUPS,
+    "op8_warc": oracle.WARC,
 }
