@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegauge.llm import oracle
 from tidegauge.llm.common import shared_path, table
 from tidegauge.llm.exact_dedup import exact_groups
+from tidegauge.llm.language_model import language_model_scores
 from tidegauge.llm.line_frequency import line_quality
 from tidegauge.llm.mixing import mix
 from tidegauge.llm.packing import pack
@@ -28,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each run, so that every run encodes all distinct texts."""
     cache = shared_path(spark, "token-cache")
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_language_model": op4_language_model,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
