@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidegauge.plans.sizing import checkpointed, shared_path
 
 __all__ = [
-    "SPACE", "WORD", "broadcast_if_small", "checkpointed", "components", "let", "numbered", "shared_path", "staged", "table",
-    "text_of", "words_of",
+    "SPACE", "WORD", "broadcast_if_small", "checkpointed", "columns_of", "components", "let", "numbered", "shared_path",
+    "staged", "table", "text_of", "unused", "words_of",
 ]
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -89,8 +89,20 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
-def passthrough(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{n}`") for n in df.columns if n not in names]
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names have."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names after ``stems`` that no column of ``df`` has."""
+    taken = {name.lower() for name in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return out
 
 
 def staged(df: DataFrame) -> DataFrame:

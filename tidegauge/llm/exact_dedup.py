@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import SPACE, broadcast_if_small, checkpointed, numbered, text_of
+from tidegauge.llm.common import SPACE, broadcast_if_small, checkpointed, numbered, text_of, unused
 
 
 def normalised(text: Column) -> Column:
@@ -71,10 +71,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The row with the smallest id stays; of rows that share that id and text any one stays.
     """
     groups = checkpointed(exact_groups(docs, id_col, text_col))
-    keep = checkpointed(groups.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")))
+    own, of_id, of_text = unused(docs, "own_digest", "kept_id", "kept_digest")
+    keep = checkpointed(groups.where("kept").select(F.col(id_col).alias(of_id), F.col("text_sha256").alias(of_text)))
     digest = F.sha2(normalised(text_of(text_col)), 256)
-    kept = docs.withColumn("__digest", digest).join(
-        broadcast_if_small(keep, 128), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi"
-    )
+    same = F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_text))
+    kept = docs.withColumn(own, digest).join(broadcast_if_small(keep, 128), same, "left_semi")
     again = groups.groupBy(id_col, "text_sha256").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates([id_col, "__digest"]) if again else kept).drop("__digest")
+    return (kept.dropDuplicates([id_col, own]) if again else kept).drop(own)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import broadcast_if_small, checkpointed, text_of
+from tidegauge.llm.common import broadcast_if_small, checkpointed, text_of, unused
 from tidegauge.llm.language_model import fold
 
 GRAM_BITS = 14
@@ -207,8 +207,8 @@ def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The verdict is looked up by a hash of id, text, declared language and host, so repeated rows share theirs.
     """
-    key = F.xxhash64(F.col(id_col), text_of(text_col), F.col(declared_col), F.col(host_col))
-    evidence = document_evidence(docs.withColumn("__key", key), "__key", text_col, declared_col, host_col)
-    verdict = identify(evidence, text_model(docs, id_col, text_col, declared_col))
-    refused = checkpointed(verdict.where(~F.col("kept")).select(F.col("id").alias("__refused")).distinct())
-    return docs.withColumn("__key", key).join(broadcast_if_small(refused, 32), F.col("__key") == F.col("__refused"), "left_anti").drop("__key")
+    own, of = unused(docs, "own_key", "refused_key")
+    keyed = docs.withColumn(own, F.xxhash64(F.col(id_col), text_of(text_col), F.col(declared_col), F.col(host_col)))
+    verdict = identify(document_evidence(keyed, own, text_col, declared_col, host_col), text_model(docs, id_col, text_col, declared_col))
+    refused = checkpointed(verdict.where(~F.col("kept")).select(F.col("id").alias(of)).distinct())
+    return keyed.join(broadcast_if_small(refused, 32), F.col(own) == F.col(of), "left_anti").drop(own)

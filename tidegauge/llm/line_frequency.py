@@ -53,7 +53,7 @@ def _text_hash(text: Column) -> Column:
 
 def _line_hashes(text: Column) -> Column:
     """(hash, words) of every line with a word, in order."""
-    lines = F.filter(F.transform(F.split(_tidy(text), "\n"), F.trim), lambda line: line != "")
+    lines = F.filter(F.transform(F.split(_tidy(text), "\n"), lambda line: F.trim(line)), lambda line: line != "")
     return F.transform(lines, lambda line: F.struct(
         F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).cast("bigint").alias("words")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import SPACE, broadcast_if_small, checkpointed, numbered, text_of
+from tidegauge.llm.common import SPACE, broadcast_if_small, checkpointed, columns_of, numbered, text_of, unused
 
 SLICE_ROWS = 20_000
 
@@ -105,12 +105,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     All columns of ``docs``. Documents that share id and text are taken alike, as the mean of their shares.
     """
     taken = mix(docs, id_col, text_col, source_col, seed, max_epochs)
+    own, of, times, number = unused(docs, "own_key", "mixed_key", "mixed_times", "mixed_number")
     copies = checkpointed(
-        taken.groupBy("h").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-        .select(F.col("h").alias("__h"), F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))).cast("int").alias("__copies"))
-        .where("__copies > 0")
+        taken.groupBy(F.col("h").alias(of)).agg(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int").alias(times))
+        .where(F.col(times) > 0)
     )
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)))
-    return keyed.join(broadcast_if_small(copies, 64), F.col("__key") == F.col("__h")).select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__n")
-    ).drop("__n")
+    keyed = docs.withColumn(own, F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)))
+    return keyed.join(broadcast_if_small(copies, 64), F.col(own) == F.col(of)).select(
+        *columns_of(docs), F.explode(F.sequence(F.lit(1), F.col(times))).alias(number)
+    ).drop(number)

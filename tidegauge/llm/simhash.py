@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from tidegauge.llm.common import broadcast_if_small, checkpointed, components, text_of
+from tidegauge.llm.common import broadcast_if_small, checkpointed, components, text_of, unused
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 CHUNK = 1 << 15
@@ -230,8 +230,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     groups = checkpointed(_grouped(docs, id_col, text_col, TILE))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).row_key
-    keep = checkpointed(groups.groupBy("root").agg(first.alias("__key")).select("__key"))
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(id_col), text_of(text_col)))
-    kept = keyed.join(broadcast_if_small(keep, 32), F.col("__row_key") == F.col("__key"), "left_semi")
+    own, of = unused(docs, "own_key", "kept_key")
+    keep = checkpointed(groups.groupBy("root").agg(first.alias(of)).select(of))
+    keyed = docs.withColumn(own, F.xxhash64(F.col(id_col), text_of(text_col)))
+    kept = keyed.join(broadcast_if_small(keep, 32), F.col(own) == F.col(of), "left_semi")
     again = groups.groupBy("row_key").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["__row_key"]) if again else kept).drop("__row_key")
+    return (kept.dropDuplicates([own]) if again else kept).drop(own)
