@@ -14,13 +14,13 @@ from tidegauge.llm.common import checkpointed, numbered, staged, text_of
 
 #: The end token doubles as what stands before the first word; no word holds a line feed.
 END = b"\n"
-FILTER_BITS = 1 << 29
+FILTER_BITS = 1 << 28
 PROBES = 4
 BASE = 1.5
 SEGMENT_TOKENS = 2_000_000
 MOST_SEGMENTS = 1 << 20
-KNOWN_WORDS = 1 << 21
-FLUSH_TOKENS = 4_000_000
+KNOWN_WORDS = 1 << 18
+FLUSH_TOKENS = 1_500_000
 SMOOTHING = 0.1
 PRIOR = 20.0
 #: log-frequency class of a count, and the counts that a class stands for.
@@ -34,6 +34,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def text_chunks(column: pa.Array, most: int = 1_000_000) -> Iterator[list[str]]:
+    """Texts in lists of about ``most`` characters."""
+    held, size = [], 0
+    for value in column:
+        held.append(value.as_py())
+        size += len(held[-1]) + 100
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts in order, and the number of tokens of each; the last bit is 1."""
     words = [[*t.encode().lower().split(), END] for t in texts]
@@ -135,9 +148,8 @@ def _partial_counts(bloom: LogBloom) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i in range(0, len(texts), 1000):
-                tokens = token_hashes(texts[i : i + 1000])[0]
+            for texts in text_chunks(batch.column("text")):
+                tokens = token_hashes(texts)[0]
                 held += [tokens, pair_hashes(tokens)]
                 size += len(tokens)
                 if size > FLUSH_TOKENS:
@@ -181,10 +193,9 @@ def _score(model: object) -> Callable:
         bloom, bits, value = LogBloom(m["segments"], m["filter_bits"]), m["bits"], count_of_level()
         n, denominator = m["tokens"], m["tokens"] + SMOOTHING * (m["vocabulary"] + 1)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "others", "times")}
-            for i in range(0, len(texts), 1000):
-                tokens, sizes = token_hashes(texts[i : i + 1000])
+            for texts in text_chunks(batch.column("text")):
+                tokens, sizes = token_hashes(texts)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 words, word_of = np.unique(tokens, return_inverse=True)
                 found = np.minimum(np.searchsorted(m["words"], words), max(len(m["words"]) - 1, 0))
