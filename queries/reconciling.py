@@ -28,14 +28,14 @@ def merge_agreeing(spark, sf_dir):
     """Both sides from lineitem keys of orders: the shared column agrees on every row."""
     orders = table(spark, sf_dir, "orders")
     left = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("nation"), "o_totalprice")
-    right = orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("nation"), "o_custkey")
+    right = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("nation"), "o_custkey")
     found = merge(left, right, SIDE_ROLES).table
     return found.groupBy("nation").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("custkeys"))
 
 
 def csv_copy(spark, sf_dir, name, columns, separator=";", encoding="UTF-8"):
     path = shared_path(spark, "extract")
-    store.save_text(table(spark, sf_dir, name).select(*columns).coalesce(1), path, separator, encoding)
+    store.save_text(table(spark, sf_dir, name).select(*columns), path, separator, encoding)
     return path
 
 
@@ -64,7 +64,7 @@ def ingest_pair(spark, sf_dir):
     """The whole ingest on two delimited extracts that share keys."""
     left = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("Type"), F.col("o_orderpriority").alias("Quality"))
-    right = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(
+    right = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("Type"), F.col("o_totalprice").alias("DaysInDeposit"))
     paths = []
     for frame, separator in ((left, ";"), (right, "|")):
@@ -92,7 +92,9 @@ def compared_numbers(spark, sf_dir):
 
 
 def returned(spark, sf_dir, flag):
-    return table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
+    """Lines with the flag, or with any other flag for the other side: both sides together are the whole table."""
+    same = F.col("l_returnflag").eqNullSafe("A")
+    return table(spark, sf_dir, "lineitem").filter(same if flag == "A" else ~same)
 
 
 def compared_categories(spark, sf_dir):
@@ -147,14 +149,14 @@ SQL = {
       (SELECT count(*) FROM departures WHERE k NOT IN (SELECT k FROM arrivals)) AS unmatched_out_rows""",
     "merge_warnings": f"""WITH {SIDES_SQL} SELECT 'overlap_column_conflict' AS code, 'info' AS severity FROM arrivals a JOIN departures d USING (k)
       HAVING count_if(a.nation IS DISTINCT FROM d.nation OR a.balance IS DISTINCT FROM d.balance) > 0""",
-    "merge_agreeing_overlap": "SELECT o_orderstatus AS nation, count(*) AS n, sum(o_custkey) AS custkeys FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
+    "merge_agreeing_overlap": "SELECT o_orderstatus AS nation, count(*) AS n, sum(o_custkey) AS custkeys FROM orders GROUP BY 1",
     "merge_unmatched_out": f"WITH {SIDES_SQL} SELECT * FROM arrivals WHERE k NOT IN (SELECT k FROM departures)",
     "merge_passthrough": "SELECT 'passthrough' AS mode, count(*) AS merged_rows FROM supplier",
     "delimited_round_trip": "SELECT c_mktsegment, CAST(c_nationkey AS DOUBLE) AS c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1, 2",
     "delimited_report": "SELECT 'utf-8' AS encoding, '|' AS separator, count(*) AS n_rows, 3 AS n_columns FROM conversations",
     "semantic_types_part": """SELECT 'Unnamed: 0' AS "column", 'categorical' AS semantic_type UNION ALL SELECT 'p_type', 'categorical' UNION ALL SELECT 'p_retailprice', 'numeric_target'
       UNION ALL SELECT 'p_size', CASE WHEN count(DISTINCT p_size) <= 12 AND count(DISTINCT p_size) / count(*) <= 0.1 THEN 'categorical_discrete' ELSE 'numeric' END FROM part""",
-    "ingest_pair": "SELECT o_orderstatus AS Type, o_orderpriority AS Quality, count(*) AS n, round(sum(o_totalprice), 2) AS days FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2",
+    "ingest_pair": "SELECT o_orderstatus AS Type, o_orderpriority AS Quality, count(*) AS n, round(sum(o_totalprice), 2) AS days FROM orders GROUP BY 1, 2",
     "ingest_warnings": "SELECT 'missing_expected_columns_out' AS code, 'warning' AS severity",
     "store_round_trip": f"WITH {GRADED_SQL} SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM graded GROUP BY lang",
     "preview_orders": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20",
@@ -167,9 +169,9 @@ SQL = {
       UNION ALL SELECT 'balance', greatest((SELECT count(DISTINCT balance) FROM arrivals), (SELECT count(DISTINCT balance) FROM departures))
       UNION ALL SELECT 'k', greatest((SELECT count(DISTINCT k) FROM arrivals), (SELECT count(DISTINCT k) FROM departures)))""",
     "compare_numeric": f"WITH {SIDES_SQL}, i AS ({_numeric_side('arrivals', 'in')}), o AS ({_numeric_side('departures', 'out')}) SELECT * FROM i FULL JOIN o USING (\"column\")",
-    "compare_categories": f"""WITH i AS ({k0_sql(_AR, _CMP)}), o AS ({k0_sql(_AR.replace("'A'", "'R'"), _CMP)}),
+    "compare_categories": f"""WITH i AS ({k0_sql(_AR, _CMP)}), o AS ({k0_sql(_AR.replace("= 'A'", "IS DISTINCT FROM 'A'"), _CMP)}),
       j AS (SELECT coalesce(i.col, o.col) AS "column", coalesce(i.val, o.val) AS category, coalesce(i.n, 0) AS in_count, coalesce(o.n, 0) AS out_count FROM i FULL JOIN o ON i.col = o.col AND i.val = o.val),
       r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY in_count + out_count DESC, category) AS rank FROM j)
       SELECT "column", rank, category, in_count, round(in_count / (SELECT count(*) FROM {_AR}) * 100.0, 4) AS in_pct, out_count,
-        round(out_count / (SELECT count(*) FROM {_AR.replace("'A'", "'R'")}) * 100.0, 4) AS out_pct FROM r WHERE rank <= 10""",
+        round(out_count / (SELECT count(*) FROM {_AR.replace("= 'A'", "IS DISTINCT FROM 'A'")}) * 100.0, 4) AS out_pct FROM r WHERE rank <= 10""",
 }

@@ -15,10 +15,10 @@ from tidegauge.operators.variability import variability_scores
 from tidegauge.plans.counts import value_counts
 from tidegauge.operators.variability import disorder
 
-OWNERS = list("AABBCCABCABC")
-SIZES = [1, 2, 3, 4, 5, 6, 2, 3, 4, 1, 5, 6]
-TYPES = ["DRY", "RF"] * 3 + ["RF", "DRY"] * 3
-DAYS = [8, 13, 14, 20, 20, 27, 12, 15, 21, 9, 24, 23]
+OWNERS = list("CABACBBCACAB")
+SIZES = [7, 2, 5, 3, 11, 1, 8, 4, 6, 9, 2, 10]
+TYPES = ["BOX" if i % 5 in (0, 2) else "TANK" for i in range(12)]
+DAYS = [31, 4, 17, 9, 40, 12, 22, 28, 13, 37, 6, 26]
 
 
 def codes(df):
@@ -32,10 +32,10 @@ def out_frame(spark):
 
 
 def test_entropy_and_gini(spark):
-    df = spark.createDataFrame([("A",), ("A",), ("B",), ("B",)], "v string")
+    df = spark.createDataFrame([("k",), ("m",), ("k",), ("m",), ("k",), ("m",)], "v string")
     row = disorder(value_counts(df, ["v"])).first()
     assert (row["entropy"], row["gini_impurity"]) == (1.0, 0.5)
-    mixed = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3), ("z", 4)], "cat string, num int")
+    mixed = spark.createDataFrame([("p", 3), ("q", 8), ("p", 1), ("r", 9)], "cat string, num int")
     scores = {r["column"]: r for r in variability_scores(mixed).collect()}
     assert scores["cat"]["custom_index"] == 1.0 and scores["num"]["coefficient_variation"] is not None
     assert scores["cat"]["entropy"] <= np.log2(3)
@@ -65,7 +65,7 @@ def direct_fit(y, columns):
 def test_full_rank_regression(out_frame):
     found = N.multiple_regression(out_frame.select("Unnamed: 0", "Owner", "Size", "Type", "DaysInDeposit"), "DaysInDeposit")
     y, size = np.array(DAYS, float), np.array(SIZES, float)
-    dummies = {"Owner[B]": [o == "B" for o in OWNERS], "Owner[C]": [o == "C" for o in OWNERS], "Type[RF]": [t == "RF" for t in TYPES]}
+    dummies = {"Owner[B]": [o == "B" for o in OWNERS], "Owner[C]": [o == "C" for o in OWNERS], "Type[TANK]": [t == "TANK" for t in TYPES]}
     columns = [size, *[np.array(v, float) for v in dummies.values()]]
     beta, error, rss, rank = direct_fit(y, columns)
     got = {r["term"]: r for r in found.coefficients.collect()}
@@ -88,10 +88,10 @@ def test_collinear_regression(out_frame):
     found = N.multiple_regression(out_frame, "DaysInDeposit")
     assert found.built and {"low_sample_for_multivariate_model", "feature_excluded_constant"} <= codes(found.warnings)
     flags = [[o == level for o in OWNERS] for level in "BC"]
-    columns = [np.array(SIZES, float), *[np.array(f, float) for f in flags], np.array([t == "RF" for t in TYPES], float), *[np.array(f, float) for f in flags]]
+    columns = [np.array(SIZES, float), *[np.array(f, float) for f in flags], np.array([t == "TANK" for t in TYPES], float), *[np.array(f, float) for f in flags]]
     beta, error, rss, rank = direct_fit(np.array(DAYS, float), columns)
     got = {r["term"]: r for r in found.coefficients.collect()}
-    names = ["Size", "Owner[B]", "Owner[C]", "Type[RF]", "Quality[B]", "Quality[C]"]
+    names = ["Size", "Owner[B]", "Owner[C]", "Type[TANK]", "Quality[B]", "Quality[C]"]
     assert [got[n]["estimate"] for n in names] == pytest.approx(beta[1:].tolist(), rel=1e-6)
     assert [got[n]["std_error"] for n in names] == pytest.approx(error[1:].tolist(), rel=1e-6)
     assert found.summary.first()["n_features"] == 4
@@ -121,7 +121,7 @@ def test_group_tests_against_direct(out_frame):
 
 
 def test_target_only(spark):
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([5, 7, 10, 9, 8, 12, 15, 11, 6, 7])], "`Unnamed: 0` int, DaysInDeposit double")
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([2, 19, 4, 33, 8, 8, 21, 13, 5, 27])], "`Unnamed: 0` int, DaysInDeposit double")
     found = target_overview(df, "DaysInDeposit")
     assert found.present and found.pearson.count() == 0 and found.mutual_information.count() == 0
     assert sum(r["count"] for r in found.histogram.collect()) == 10
@@ -147,3 +147,31 @@ def test_bundle(spark, out_frame):
     assert found.sections["in"].identifiers.first()["column"] == "Unnamed: 0"
     assert found.warnings.count() == found.warnings.dropDuplicates(["code", "column", "message"]).count()
     assert explore(in_frame, Roles()).warnings.filter("code = 'technical_columns_excluded'").count() == 1
+
+
+def test_exact_fits_come_first(spark):
+    rows = [(float(i), 2.0 * i + 1, "ab"[i % 2], float(i % 2), (i * 7) % 5 / 3.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "y double, line double, half string, part double, noise double")
+    found = N.feature_tests(df.select("y", "line", "noise"), "y").collect()
+    assert (found[0]["feature"], found[0]["p_value"], found[0]["statistic"]) == ("line", 0.0, float("inf"))
+    grouped = N.group_tests(df, "part", ["half"]).first()
+    assert (grouped["p_value"], grouped["effect_size"], grouped["statistic"]) == (0.0, 1.0, float("inf"))
+
+
+def test_box_statistics_keep_the_group_of_null(spark):
+    from tidegauge.operators.profile import box_stats
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (None, 2.0), ("a", 5.0), ("a", 7.0)], "g string, v double")
+    for small in (True, False):
+        found = {r["g"]: r for r in box_stats(df, ["g"], "v", small=small).collect()}
+        assert set(found) == {None, "a"} and found[None]["p50"] == 2.0 and found["a"]["n"] == 2
+
+
+def test_features_are_encoded_alike_at_every_size(spark):
+    from tidegauge.operators.models import eligible_features
+    from tidegauge.operators.temporal import temporal_split
+
+    for levels in (5, 1500):
+        rows = [(i, f"o{i % levels}", float(i % 9), 1 + i % 3) for i in range(2 * levels)]
+        split = temporal_split(spark.createDataFrame(rows, "row_id int, Owner string, value double, week int"), "value", "week")
+        assert eligible_features(split).hashed == () and eligible_features(split, ["Owner"]).hashed == ("Owner",)

@@ -47,14 +47,17 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+# One pattern over names without white space: a whole technical name, or one that begins like an index.
+_TECHNICAL = re.compile("|".join([*(re.escape(n) + "$" for n in sorted(TECHNICAL_NAMES)), re.escape(TECHNICAL_PREFIX)]), re.IGNORECASE)
+
+
 def is_technical(name: str) -> bool:
-    squeezed = re.sub(r"\s+", "", str(name)).lower()
-    return squeezed in TECHNICAL_NAMES or squeezed.startswith(TECHNICAL_PREFIX)
+    return _TECHNICAL.match("".join(name.split())) is not None
 
 
 def analytical_columns(df: DataFrame, keep: Iterable[str] = ()) -> list[str]:
-    kept = set(keep)
-    return [name for name in df.columns if name in kept or not is_technical(name)]
+    hidden = {name for name in df.columns if is_technical(name)}.difference(keep)
+    return [name for name in df.columns if name not in hidden]
 
 
 def analytical(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
@@ -112,15 +115,23 @@ def label(df: DataFrame, name: str) -> Column:
     """Display label: blanks named, text trimmed, whole numbers without decimals."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        value = finite(c(name))
-        text = F.when(value == F.floor(value), F.floor(value).cast("bigint").cast("string")).otherwise(
-            value.cast("string")
-        )
+        text = number_label(finite(c(name)).cast("double"))
     else:
         text = F.trim(c(name).cast("string"))
     return F.when(text.isNull() | (text == ""), F.lit(BLANK_LABEL)).otherwise(text)
 
 
+def number_label(value: Column) -> Column:
+    """A double in short: whole numbers as integers, fractions plainly, an exponent only below 0.0001."""
+    text, size = value.cast("string"), F.abs(value)
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E-", -1)
+    tiny = F.concat(mantissa, F.lit("e-"), F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power))
+    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"\.?0+$", "")
+    return F.when(size >= 9e15, F.format_string("%.0f", value)).when(
+        value == F.floor(value), F.floor(value).cast("string")).when(size < 1e-4, tiny).when(text.contains("E"), plain).otherwise(text)
+
+
 def segment_label(columns: Iterable[str]) -> Column:
     """Joined segment key; a missing part reads ``<MISSING>``."""
     parts = [F.coalesce(c(name).cast("string"), F.lit(MISSING_LABEL)) for name in columns]

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.columns import Roles, analytical_columns, is_technical
+from tidegauge.functions.columns import Roles, analytical_columns, c, is_technical
 from tidegauge.operators import association, cluster, compare, impute, inference, profile, quality
-from tidegauge.operators.models import Factory, compare_strategies, run_benchmark
+from tidegauge.operators.models import Benchmark, Factory, best_run, compare_strategies, run_benchmark
 from tidegauge.operators.overview import TargetOverview, target_overview
 from tidegauge.operators.temporal import (
     DEFAULT_FAMILIES,
     Family,
+    Segments,
+    backoff,
+    best_families,
     build_segments,
     data_warnings,
+    heuristic_metrics,
     heuristic_table,
+    prediction_table,
+    segment_report,
     split_problems,
     split_summary,
     target_diagnostics,
     temporal_split,
+    tier_usage,
     training_warnings,
 )
 from tidegauge.plans.counts import column_summary, value_counts
@@ -191,32 +199,31 @@ def build_bundle(
 
 
 def insight_facts(sections, comparison, plans, outliers, clusters, roles: Roles) -> DataFrame:
-    """At most six ``(position, fact, evidence)`` rows read off the other tables."""
-    found: list[tuple[str, str]] = []
-    if not any(row[4] for plan in plans.values() for row in plan):
-        found.append(("nothing_imputed", "both sources are complete"))
-    tests = sections["out"].group_tests
-    strongest = tests.filter(F.col("p_value") < inference.SIGNIFICANT).orderBy("p_value", F.desc("effect_size"), "feature").first() if tests is not None else None
-    if strongest is not None:
-        found.append(("groups_differ", f"{strongest['feature']} (p={strongest['p_value']:.3g})"))
-    condition = sections["in"].top_values.filter((F.col("column") == "Condition") & (F.col("rank") == 1)).first()
-    if condition is not None:
-        found.append(("dominant_condition", f"{condition['value']} ({condition['pct']:.2f}%)"))
-    owner = comparison.categorical.filter((F.col("column") == (roles.categorical[0] if roles.categorical else "")) & (F.col("rank") == 1)).first()
-    if owner is not None:
-        found.append(("dominant_owner", f"{owner['category']} ({owner['in_pct']:.2f}% in, {owner['out_pct']:.2f}% out)"))
-    flagged = outliers["out"][1].first()
-    if flagged["flagged_rows"] > 0:
-        found.append(("extreme_values", f"{flagged['flagged_rows']} rows ({flagged['flagged_ratio']:.2f}%)"))
-    for source in ("in", "out"):
-        chosen = clusters[source].candidates.filter("selected").first()
-        if chosen is None:
-            continue
-        found.append((f"cluster_structure_{source}", f"{chosen['cluster_count']} clusters, {chosen['noise_ratio']:.2f}% noise"))
-        if chosen["cluster_count"] > 0:
-            break
-    rows = [(i, fact, evidence) for i, (fact, evidence) in enumerate(found[:MOST_FACTS])]
-    return sections["in"].overview.sparkSession.createDataFrame(rows, "position int, fact string, evidence string")
+    """At most six ``(position, fact, evidence)`` rows: each rule turns the first row of a small table into evidence.
+
+    A rule is a fact, a table (None: no table), and the text of its row. Facts stand in the order of the rules.
+    """
+    spark = sections["in"].overview.sparkSession
+    tests, lead = sections["out"].group_tests, roles.categorical[0] if roles.categorical else ""
+    filled = [row for plan in plans.values() for row in plan if row[4]]
+    complete = spark.range(1) if not filled else None
+    picked = {s: clusters[s].candidates.filter("selected") for s in ("in", "out")}
+    structure = F.format_string("%d clusters, %.2f%% noise", "cluster_count", "noise_ratio")
+    of_in = picked["in"].first()
+    shown_out = of_in is None or of_in["cluster_count"] == 0
+    rules = [
+        ("nothing_imputed", complete, F.lit("both sources are complete")),
+        ("groups_differ", None if tests is None else tests.filter(F.col("p_value") < inference.SIGNIFICANT).orderBy("p_value", F.desc("effect_size"), "feature"),
+         F.concat("feature", F.lit(" (p="), F.format_string("%.3g", "p_value"), F.lit(")"))),
+        ("dominant_condition", sections["in"].top_values.filter((F.col("column") == "Condition") & (F.col("rank") == 1)), F.format_string("%s (%.2f%%)", "value", "pct")),
+        ("dominant_owner", comparison.categorical.filter((F.col("column") == lead) & (F.col("rank") == 1)), F.format_string("%s (%.2f%% in, %.2f%% out)", "category", "in_pct", "out_pct")),
+        ("extreme_values", outliers["out"][1].filter("flagged_rows > 0"), F.format_string("%d rows (%.2f%%)", "flagged_rows", "flagged_ratio")),
+        ("cluster_structure_in", picked["in"], structure),
+        ("cluster_structure_out", picked["out"] if shown_out else None, structure),
+    ]
+    rows = [frame.limit(1).select(F.lit(i).alias("rule"), F.lit(fact).alias("fact"), text.alias("evidence")) for i, (fact, frame, text) in enumerate(rules) if frame is not None]
+    found = sorted(tuple(r) for r in functools.reduce(DataFrame.unionByName, rows).collect())[:MOST_FACTS]
+    return spark.createDataFrame([(i, fact, evidence) for i, (_, fact, evidence) in enumerate(found)], "position int, fact string, evidence string")
 
 
 @dataclass(frozen=True)
@@ -233,6 +240,18 @@ class Evaluation:
     tests: DataFrame | None
     regression: inference.Regression
     warnings: DataFrame
+    tiers: DataFrame | None = None
+    segments: DataFrame | None = None
+    predictions: DataFrame | None = None
+
+
+def best_beside(benchmark: Benchmark, segments: Segments) -> DataFrame:
+    """Scored rows with the best learner's ``regression`` (the baseline where none was fitted), the ``heuristic`` and its tier."""
+    best = best_run(benchmark)
+    learned = c(best[2]) if best else F.lit(float(benchmark.baseline))
+    simple, combined = best_families(heuristic_metrics(segments), segments.families)
+    rows = backoff(benchmark.scored.withColumn("regression", learned), segments, simple, combined)
+    return rows.withColumnRenamed("predicted", "heuristic")
 
 
 def evaluate(
@@ -252,6 +271,7 @@ def evaluate(
     split = temporal_split(df, roles.target, roles.period)
     segments = build_segments(split, families)
     benchmark = run_benchmark(split, models)
+    both = best_beside(benchmark, segments)
     heuristics = heuristic_table(split, segments)
     for more in (training_warnings(split), data_warnings(split, roles), benchmark.warnings):
         warnings = warnings.unionByName(more)
@@ -259,4 +279,5 @@ def evaluate(
         split_summary(split), benchmark.rows, benchmark.effects, heuristics,
         compare_strategies(benchmark.rows.filter(F.col("strategy") != "baseline"), heuristics),
         target_diagnostics(split), overview, tests, regression, quality.dedupe_warnings(warnings),
+        tier_usage(both), segment_report(split, segments, both), prediction_table(both, roles.key, roles.period, "heuristic"),
     )

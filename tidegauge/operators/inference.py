@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import (
@@ -33,6 +33,8 @@ from tidegauge.plans.sizing import attach, is_small, materialised, rows_of
 SMALL_GROUP, OUTLIER_SHARE, SIGNIFICANT = 5, 0.05, 0.05
 BOX_FEATURES, TERMS_NAMED = 3, 3
 MAX_DESIGN = 1_000
+INFINITE = float("inf")
+EXACT_FIT = 1e-14  # share of variance left below which a fit counts as exact
 
 TEST_SCHEMA = (
     "feature string, feature_type string, test_used string, statistic double, p_value double, effect_size double, "
@@ -65,6 +67,11 @@ def target_outliers(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def _certain(statistic: Column, p: Column) -> Column:
+    """A fit without any rest has an infinite statistic and the p-value 0."""
+    return F.when(F.abs(statistic) == INFINITE, F.lit(0.0)).otherwise(p)
+
+
 def simple_regressions(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """Slope test of the target on each numeric feature; all features share one aggregate.
 
@@ -86,7 +93,8 @@ def simple_regressions(df: DataFrame, target: str, features: Sequence[str]) -> D
     for i, name in enumerate(features):
         n, r = F.col(f"n{i}"), F.col(f"r{i}")
         flat, sign = F.col(f"flat{i}"), F.col(f"sign{i}")
-        slope_t = r * F.sqrt(F.try_divide(n - 2.0, 1.0 - r * r))
+        rest = 1.0 - r * r
+        slope_t = F.when(rest <= EXACT_FIT, F.signum(r) * INFINITE).otherwise(r * F.sqrt(F.try_divide(n - 2.0, rest)))
         mean_t = F.when(sign != 0, sign * F.try_divide(F.col(f"mean{i}") * F.sqrt(n), F.col(f"std{i}")))
         enough = n >= 3
         structs.append(F.struct(
@@ -98,7 +106,7 @@ def simple_regressions(df: DataFrame, target: str, features: Sequence[str]) -> D
         ))
     return rows_of(row, structs).filter(F.col("n") > 0).select(
         "feature", F.lit("numeric").alias("feature_type"), F.lit("ols_numeric").alias("test_used"), "statistic",
-        t_p(F.col("statistic"), F.col("dof")).alias("p_value"), "effect_size",
+        _certain(F.col("statistic"), t_p(F.col("statistic"), F.col("dof"))).alias("p_value"), "effect_size",
         F.lit(None).cast("bigint").alias("n_groups"), F.lit(None).cast("double").alias("kruskal_statistic"),
         F.lit(None).cast("double").alias("kruskal_p_value"), F.lit(None).cast("bigint").alias("small_groups"), "n",
     )
@@ -138,7 +146,9 @@ def group_tests(df: DataFrame, target: str, features: Sequence[str], small: bool
     between, total = F.col("between_raw") - mean_part, F.col("ss") - mean_part
     dof1, dof2 = (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")
     enough = F.col("k") >= 2
-    ratio = F.try_divide(F.try_divide(between, dof1), F.try_divide(total - between, dof2))
+    within = total - between
+    exact = (between > 0) & (within <= EXACT_FIT * total) & (dof2 > 0)
+    ratio = F.when(exact, F.lit(INFINITE)).otherwise(F.try_divide(F.try_divide(between, dof1), F.try_divide(within, dof2)))
     h = F.try_divide(F.col("rank_between") * (F.col("n") - 1), F.col("rank_spread"))
     tested = sums.select(
         "feature", F.when(enough, ratio).alias("statistic"), dof1.alias("d1"), dof2.alias("d2"),
@@ -147,7 +157,7 @@ def group_tests(df: DataFrame, target: str, features: Sequence[str], small: bool
     )
     return tested.select(
         "feature", F.lit("categorical").alias("feature_type"), F.lit("anova_kruskal").alias("test_used"), "statistic",
-        f_p(F.col("statistic"), F.col("d1"), F.col("d2")).alias("p_value"), "effect_size", "n_groups", "kruskal_statistic",
+        _certain(F.col("statistic"), f_p(F.col("statistic"), F.col("d1"), F.col("d2"))).alias("p_value"), "effect_size", "n_groups", "kruskal_statistic",
         chi2_p(F.col("kruskal_statistic"), F.col("d1")).alias("kruskal_p_value"), "small_groups", "n",
     )
 

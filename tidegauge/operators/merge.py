@@ -52,9 +52,10 @@ def conflicting(joined: DataFrame, columns: list[str]) -> dict[str, int]:
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of one side whose key never occurs on the other."""
-    keys = right.select(c(key).cast("string").alias("__k")).distinct()
-    return left.join(keys, c(key).cast("string") == F.col("__k"), "left_anti")
+    """Rows of one side whose key never occurs on the other. NULL keys match nothing and skip the join."""
+    keys = right.filter(c(key).isNotNull()).select(c(key).cast("string").alias("__k")).distinct()
+    known = left.filter(c(key).isNotNull()).join(keys, c(key).cast("string") == F.col("__k"), "left_anti")
+    return known.unionByName(left.filter(c(key).isNull()))
 
 
 def merge(in_df: DataFrame | None, out_df: DataFrame | None, roles: Roles = Roles()) -> Merged:

@@ -26,7 +26,7 @@ from tidegauge.operators.temporal import (
     target_bounds,
     transformed,
 )
-from tidegauge.plans.counts import long_numbers, long_text
+from tidegauge.plans.counts import long_numbers
 from tidegauge.plans.ordered import quantiles
 from tidegauge.plans.sizing import is_small, materialised
 
@@ -35,7 +35,7 @@ DEPTH, TREES, SEED = 5, 100, 42
 ROUNDS, STEP, SUBSAMPLE = 150, 0.08, 0.9
 STRATEGIES = ("raw", "log1p", "log1p_outlier_norm", "winsor_iqr")
 EFFECTS_SHOWN = 12
-ONE_HOT_LEVELS, HASHED_WIDTH = 1_000, 4_096
+HASHED_WIDTH = 4_096
 
 Factory = Callable[[], object]
 
@@ -70,8 +70,8 @@ class Benchmark:
     models: Mapping[str, object] = field(default_factory=dict)
 
 
-def eligible_features(split: Split) -> Features:
-    """Features that vary in training, numbers first; wide label columns are marked for hashing."""
+def eligible_features(split: Split, hashed: Sequence[str] = ()) -> Features:
+    """Features that vary in training, numbers first. Label columns get a slot per level unless named in ``hashed``."""
     train = split.train
     candidates = [n for n in analytical_columns(split.rows) if n not in (split.target, "y", "is_test")]
     row = train.agg(*[(F.min(present(train, n)) != F.max(present(train, n))).alias(f"v{i}") for i, n in enumerate(candidates)]).first()
@@ -84,15 +84,7 @@ def eligible_features(split: Split) -> Features:
         notes.append(("no_temporal_features", "warning", None, "No feature varies in training.", "Add features."))
     numeric = tuple(n for n in varying if is_numeric(train, n))
     labels = tuple(n for n in varying if n not in numeric)
-    wide: tuple[str, ...] = ()
-    if labels:
-        distinct = long_text(train, labels).distinct()
-        if distinct.limit(ONE_HOT_LEVELS + 1).count() > ONE_HOT_LEVELS:
-            sizes = distinct.groupBy("column").agg(F.count("*").alias("d"))
-            limit = ONE_HOT_LEVELS // len(labels)
-            found = {r["column"] for r in sizes.filter(F.col("d") > limit).collect()}
-            wide = tuple(n for n in labels if n in found)
-    return Features(numeric, labels, warning_rows(split.rows, notes), wide)
+    return Features(numeric, labels, warning_rows(split.rows, notes), tuple(n for n in labels if n in hashed))
 
 
 def _filled(split: Split, features: Features) -> DataFrame:
@@ -113,7 +105,7 @@ def _filled(split: Split, features: Features) -> DataFrame:
 
 
 def preprocessing(features: Features) -> Pipeline:
-    """One-hot labels (unseen ones become all zeros), hashing for wide columns, one assembled vector."""
+    """One-hot labels (unseen ones become all zeros), hashing for the columns asked for, one assembled vector."""
     stages, parts = [], [f"num_{i}" for i in range(len(features.numeric))]
     narrow = [i for i, n in enumerate(features.categorical) if n not in features.hashed]
     wide = [i for i, n in enumerate(features.categorical) if n in features.hashed]
@@ -162,6 +154,7 @@ def run_benchmark(
     models: Mapping[str, Factory | None] | None = None,
     strategies: Sequence[str] = STRATEGIES,
     bounds: Bounds | None = None,
+    hashed: Sequence[str] = (),
 ) -> Benchmark:
     """Fit every learner on every target strategy, then score all runs in one pass.
 
@@ -171,7 +164,7 @@ def run_benchmark(
     models = default_models() if models is None else models
     bounds = bounds or target_bounds(split.train)
     baseline = baseline_median(split)
-    features = eligible_features(split)
+    features = eligible_features(split, hashed)
     if not features.numeric and not features.categorical:
         raise ValueError("no_temporal_features: no feature varies in training")
     filled = _filled(split, features)

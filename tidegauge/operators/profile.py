@@ -207,18 +207,18 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str, small: bool | None =
     moments = rows.groupBy(*keys).agg(*_moments(F.col("__v")))
     quartiles = quantiles(counts, by, "__v", QUARTILES, weight="__n", small=small)
     low, high = fences(F.col("p25"), F.col("p75"))
-    stats = moments.join(quartiles, list(by)) if by else _side_by_side(moments, quartiles)
+    stats = _matched(moments, quartiles, by) if by else _side_by_side(moments, quartiles)
     stats = stats.withColumn("lower_bound", low).withColumn("upper_bound", high).withColumn("__rows", F.col("n"))
     if by:
         bounds = stats.select(*keys, "lower_bound", "upper_bound", "__rows")
-        bounded = attach(counts, bounds, by, "__rows")
+        bounded = _bounded(counts, bounds, by)
     else:
         bounded = _side_by_side(counts, stats.select("lower_bound", "upper_bound"))
     outside = (F.col("__v") < F.col("lower_bound")) | (F.col("__v") > F.col("upper_bound"))
     flagged = bounded.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(outside, F.col("__n"))), F.lit(0)).alias("outlier_count")
     )
-    whole = stats.join(flagged, list(by)) if by else _side_by_side(stats, flagged)
+    whole = _matched(stats, flagged, by) if by else _side_by_side(stats, flagged)
     return whole.select(
         *keys,
         "n",
@@ -232,6 +232,24 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str, small: bool | None =
     )
 
 
+def _matched(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join of one-row-per-group tables; the group of NULL keys meets itself."""
+    named = {k: f"__right_{i}" for i, k in enumerate(by)}
+    other = right.select(*[c(n).alias(named.get(n, n)) for n in right.columns])
+    same = [c(k).eqNullSafe(F.col(alias)) for k, alias in named.items()]
+    return left.join(other, same).drop(*named.values())
+
+
+def _bounded(counts: DataFrame, bounds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Fences beside every value of their group; rows of NULL keys, which equality misses, are joined by themselves."""
+    keyed = F.lit(True)
+    for k in by:
+        keyed = keyed & c(k).isNotNull()
+    plain = attach(counts.filter(keyed), bounds.filter(keyed), by, "__rows")
+    loose = _matched(counts.filter(~keyed), bounds.filter(~keyed).drop("__rows"), by)
+    return plain.unionByName(loose.select(*[c(n) for n in plain.columns]))
+
+
 def _side_by_side(left: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the single row of a global aggregate to every row."""
     marked = one_row.withColumn("__one", F.lit(1))

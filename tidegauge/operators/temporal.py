@@ -362,15 +362,15 @@ def clipped(value: Column, low: float | None, high: float | None) -> Column:
 def transformed(strategy: str, bounds: Bounds, value: Column | None = None) -> Column:
     """Training target of a strategy. The winsor rule clips even when its fences coincide."""
     y = F.col("y") if value is None else value
-    if strategy == "raw":
-        return y
-    if strategy == "log1p":
-        return logged(y)
-    if strategy == "log1p_outlier_norm":
-        return clipped(logged(y), bounds.log_low, bounds.log_high)
-    if strategy == "winsor_iqr":
-        return clipped(y, bounds.winsor_low, bounds.winsor_high)
-    raise ValueError(f"Unknown target strategy '{strategy}'")
+    targets = {
+        "raw": y,
+        "winsor_iqr": clipped(y, bounds.winsor_low, bounds.winsor_high),
+        "log1p": logged(y),
+        "log1p_outlier_norm": clipped(logged(y), bounds.log_low, bounds.log_high),
+    }
+    if strategy not in targets:
+        raise ValueError(f"No target strategy '{strategy}'; there are {', '.join(targets)}")
+    return targets[strategy]
 
 
 def restored(strategy: str, predicted: Column) -> Column:
