@@ -103,4 +103,8 @@ def test_tails_against_closed_forms():
     assert tails.t_two_sided(2.0, 2) == pytest.approx(1 - 2 / np.sqrt(6))
     assert tails.f_tail(3.0, 2, 10) == pytest.approx((1 + 2 * 3.0 / 10) ** -5)
     assert tails.t_quantile(0.025, 1e7) == pytest.approx(1.959964, abs=1e-5)
+    for dof, want in ((1e6, 0.0499960676), (1e9, 0.0499957903), (1e12, 0.0499957902)):
+        assert tails.t_two_sided(1.96, dof) == pytest.approx(want, rel=1e-7)
+    assert tails.f_tail(1.96**2, 1, 1e12) == pytest.approx(0.0499957902, rel=1e-7)
+    assert tails.chi2_tail(1e8, 1e8) == pytest.approx(0.5, abs=1e-4)
     assert tails.f_tail(None, 1, 1) is None and tails.chi2_tail(float("nan"), 2) is None
