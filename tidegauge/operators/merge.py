@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import Roles, c
 from tidegauge.operators.quality import empty_warnings, warning_rows
-from tidegauge.plans.sizing import checkpointed
 
 
 @dataclass(frozen=True)
@@ -74,9 +73,10 @@ def merge(in_df: DataFrame | None, out_df: DataFrame | None, roles: Roles = Role
     key = roles.key
     if key not in in_df.columns or key not in out_df.columns:
         raise ValueError(f"Merge key '{key}' is missing on one side")
-    joined = checkpointed(suffix_join(in_df, out_df, key))
-    overlap = [n for n in roles.overlap if n in in_df.columns and n in out_df.columns]
-    differs = conflicting(joined, overlap)
+    joined = suffix_join(in_df, out_df, key)
+    overlap = [n for n in roles.overlap if n in in_df.columns and n in out_df.columns and n != key]
+    compared = [c(n) for n in (key, *overlap)]
+    differs = conflicting(suffix_join(in_df.select(compared), out_df.select(compared), key), overlap)
     same = [n for n in overlap if differs[n] == 0]
     conflicts = tuple(n for n in overlap if differs[n])
     folded = {f"{n}{suffix}" for n in same for suffix in ("_in", "_out")}
@@ -88,16 +88,20 @@ def merge(in_df: DataFrame | None, out_df: DataFrame | None, roles: Roles = Role
         notes.append(("overlap_column_conflict", "info", None,
                       f"Columns differ between the two sides and keep their suffixes: {', '.join(conflicts)}.",
                       "Expected when the sides are different stages; read them separately."))
-    return Merged(table, merge_report(in_df, out_df, table, key), warning_rows(table, notes), conflicts)
+    return Merged(table, merge_report(in_df, out_df, key), warning_rows(table, notes), conflicts)
 
 
-def merge_report(in_df: DataFrame, out_df: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Input, matched and unmatched row counts in one row."""
-    def rows(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("name"), F.lit(1).alias("one"))
+def merge_report(in_df: DataFrame, out_df: DataFrame, key: str) -> DataFrame:
+    """Input, matched and unmatched row counts in one row, from one count per key and side."""
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(c(key).cast("string").alias("key")).agg(F.count("*").alias(name))
 
-    parts = rows(in_df, "input_in_rows").unionByName(rows(out_df, "input_out_rows")).unionByName(
-        rows(table, "merged_rows")).unionByName(rows(unmatched(in_df, out_df, key), "unmatched_in_rows")).unionByName(
-        rows(unmatched(out_df, in_df, key), "unmatched_out_rows"))
-    named = ("input_in_rows", "input_out_rows", "merged_rows", "unmatched_in_rows", "unmatched_out_rows")
-    return parts.agg(*[F.count_if(F.col("name") == n).alias(n) for n in named]).select(F.lit("merged").alias("mode"), *named)
+    met = counted(in_df, "n_in").join(counted(out_df, "n_out"), "key", "full_outer")
+
+    def total(value: str) -> Column:
+        return F.coalesce(F.sum(F.expr(value)), F.lit(0))
+
+    return met.agg(
+        total("n_in").alias("input_in_rows"), total("n_out").alias("input_out_rows"), total("n_in * n_out").alias("merged_rows"),
+        total("if(n_out IS NULL, n_in, 0)").alias("unmatched_in_rows"), total("if(n_in IS NULL, n_out, 0)").alias("unmatched_out_rows"),
+    ).select(F.lit("merged").alias("mode"), "*")
