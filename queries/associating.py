@@ -192,6 +192,16 @@ ORDER BY coalesce(cramers_v, 0) DESC, feature_x, feature_y LIMIT 10
 """
 
 
+def preview_sql(source, names):
+    """First eight by eight labels of the pair that the chi-square statement puts first."""
+    steps, _, last = chi2_sql(source, names).rpartition("SELECT feature_x, feature_y, round")
+    return f"""{steps.rstrip()}, best AS (SELECT feature_x, feature_y, round{last} ),
+top AS (SELECT feature_x, feature_y FROM best ORDER BY coalesce(cramers_v, 0) DESC, feature_x, feature_y LIMIT 1),
+k AS (SELECT xv, yv, o FROM t JOIN top USING (feature_x, feature_y)),
+kx AS (SELECT DISTINCT xv FROM k ORDER BY xv LIMIT 8), ky AS (SELECT DISTINCT yv FROM k ORDER BY yv LIMIT 8)
+SELECT kx.xv AS x_value, ky.yv AS y_value, coalesce(k.o, 0) AS count FROM kx CROSS JOIN ky LEFT JOIN k ON k.xv = kx.xv AND k.yv = ky.yv"""
+
+
 def group_sql():
     parts = " UNION ALL ".join(f"SELECT '{n}' AS feature, {n} AS level, value AS y FROM flow WHERE {n} IS NOT NULL" for n in ("Owner", "Size", "Type"))
     return f"""WITH {FLOW_SQL}, r AS ({parts}),
@@ -272,6 +282,7 @@ SQL = {
     "contingency_lineitem": "SELECT l_returnflag AS x_value, l_linestatus AS y_value, count(*) AS count FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY ALL",
     "chi2_pairs_lineitem": "WITH src AS (SELECT l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR) AS line FROM lineitem), " + chi2_sql("src", ["l_returnflag", "l_linestatus", "line"]),
     "chi2_pairs_documents": f"WITH {GRADED_SQL}, " + chi2_sql("graded", ["lang", "source", "verdict"]),
+    "contingency_preview_documents": f"WITH {GRADED_SQL}, " + preview_sql("graded", ["lang", "source", "verdict"]),
     "mutual_information_flow": _MI,
     "slope_tests_lineitem": f"""WITH s AS ({" UNION ALL ".join(slope_sql(x) for x in ["l_quantity", "l_discount", "l_tax", "l_linenumber"])}
         UNION ALL SELECT 'flat', avg(l_extendedprice) * sqrt(count(*)) / stddev_samp(l_extendedprice), count(*) - 1.0, 0.0, count(*) FROM lineitem)

@@ -86,6 +86,21 @@ def benchmark(spark, sf_dir):
     return M.run_benchmark(split(spark, sf_dir), {**M.default_models(), "External Booster": None})
 
 
+def invariants(spark, sf_dir):
+    """What must hold of the whole grid, whatever the trees look like: sizes, the baseline's errors, the best learner's place."""
+    found, tables = split(spark, sf_dir), benchmark(spark, sf_dir)
+    rows = tables.rows
+    learned = rows.filter("strategy <> 'baseline'")
+    sides = found.rows.agg(F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"))
+    base = rows.filter("strategy = 'baseline'").agg(*[F.round(F.max(m), 6).alias(f"baseline_{m}") for m in ("mae", "rmse", "medae")])
+    runs = learned.agg(
+        F.count_if("available").alias("runs"), F.count_distinct("model_name").alias("learners"), F.count_if(~F.col("available")).alias("unavailable"),
+        F.count_distinct("strategy_label").alias("labels"), F.count_if(F.col("train_mae") < 0).alias("negative"), F.min("train_mae").alias("best"))
+    best = rows.filter("strategy = 'baseline'").agg(F.max("train_mae").alias("floor")).crossJoin(runs).select((F.col("best") <= F.col("floor")).cast("int").alias("best_in_training_not_above_baseline"))
+    one = sides.crossJoin(base).crossJoin(runs.drop("best")).crossJoin(best)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in one.columns])))
+
+
 def benchmark_rows(spark, sf_dir):
     return M.by_strategy(benchmark(spark, sf_dir).rows)
 
@@ -123,6 +138,7 @@ QUERIES = {
     "model_effects_flow": effects,
     "strategy_comparison_flow": winner,
     "segment_report_models": model_report,
+    "model_invariants_flow": invariants,
 }
 
 _COLUMNS = {f.key: " || ' | ' || ".join(f"coalesce({n}, '<MISSING>')" for n in f.columns) for f in FAMILIES}
@@ -176,6 +192,12 @@ SQL = {
         round(avg(abs(sg.y - bo.predicted)), 6) AS heuristic_mae, round(avg(abs(sg.y - bo.b)), 6) AS baseline_mae, round(quantile_cont(sg.y, 0.5), 6) AS actual_median,
         any_value(train_count) AS train_count, any_value(test_count) AS test_count
       FROM sg JOIN bo USING (row_id) JOIN ct USING (family, segment) WHERE sg.is_test GROUP BY sg.family, sg.segment""",
+    "model_invariants_flow": base_sql() + """, e AS (SELECT y, abs(y - b) AS a FROM sp, bl WHERE is_test),
+      m AS (SELECT round(avg(a), 6) AS mae, round(sqrt(avg(a * a)), 6) AS rmse, round(quantile_cont(a, 0.5), 6) AS medae FROM e)
+      SELECT 'train_rows' AS name, CAST(count(*) FILTER (NOT is_test) AS DOUBLE) AS value FROM sp
+      UNION ALL SELECT 'test_rows', count(*) FILTER (is_test) FROM sp
+      UNION ALL SELECT 'baseline_mae', mae FROM m UNION ALL SELECT 'baseline_rmse', rmse FROM m UNION ALL SELECT 'baseline_medae', medae FROM m
+      UNION ALL SELECT * FROM (VALUES ('runs', 12.0), ('learners', 4.0), ('unavailable', 1.0), ('labels', 5.0), ('negative', 0.0), ('best_in_training_not_above_baseline', 1.0))""",
     "family_predictions_flow": base_sql() + f" SELECT row_id, CAST((SELECT max(week) FROM flow) AS VARCHAR) AS period, y AS actual, round(predicted, 6) AS predicted FROM pr WHERE is_test AND family = '{FAMILIES[4].key}'",
     "target_diagnostics_flow": f"""WITH {FLOW_SQL}, tr AS (SELECT value AS y, ln(1 + greatest(value, 0)) AS l FROM flow WHERE value IS NOT NULL AND week < (SELECT max(week) FROM flow)),
       lq AS (SELECT quantile_cont(l, 0.25) AS a, quantile_cont(l, 0.75) AS z FROM tr),
