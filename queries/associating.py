@@ -97,6 +97,14 @@ def flow_model(part):
     return run
 
 
+def wide_regression(spark, sf_dir):
+    """Price over quantity and part: thousands of levels, of which one table of sums remains."""
+    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", F.col("l_partkey").cast("string").alias("part"))
+    found = N.multiple_regression(rows, "l_extendedprice")
+    own = found.coefficients.filter("term = 'l_quantity'").select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+    return own.crossJoin(found.summary.select(F.round("r_squared", 6).alias("r_squared"), "n_obs"))
+
+
 def overview(part):
     def run(spark, sf_dir):
         return rounded(getattr(target_overview(flow(spark, sf_dir), "value", FLOW_ROLES), part), digits=6)
@@ -128,6 +136,7 @@ QUERIES = {
     "regression_label_summary": regression(number_and_label, "summary"),
     "regression_label_coefficients": regression(number_and_label, "coefficients"),
     "regression_label_terms": regression(number_and_label, "terms"),
+    "regression_wide_parts": wide_regression,
     "regression_flow_coefficients": flow_model("coefficients"),
     "regression_flow_terms": flow_model("terms"),
     "regression_flow_conclusions": flow_model("conclusions"),
@@ -294,6 +303,11 @@ SQL = {
     "regression_two_numbers_summary": _NUMBERS["summary"],
     "regression_two_numbers_terms": _NUMBERS["terms"],
     "regression_two_numbers_coefficients": _NUMBERS["coefficients"],
+    "regression_wide_parts": """WITH w AS (SELECT l_extendedprice AS p, l_partkey, l_quantity - avg(l_quantity) OVER g AS x, l_extendedprice - avg(l_extendedprice) OVER g AS y
+        FROM lineitem WINDOW g AS (PARTITION BY l_partkey)),
+      s AS (SELECT sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, count(*) AS n, count(DISTINCT l_partkey) AS k, var_pop(p) * count(*) AS tot FROM w)
+      SELECT 'l_quantity' AS term, round(sxy / sxx, 4) AS estimate, round(sqrt((syy - sxy * sxy / sxx) / (n - k - 1) / sxx), 4) AS std_error,
+        round(1 - (syy - sxy * sxy / sxx) / tot, 6) AS r_squared, n AS n_obs FROM s""",
     "regression_label_summary": _LABEL["summary"],
     "regression_label_terms": _LABEL["terms"],
     "regression_label_coefficients": _LABEL["coefficients"],

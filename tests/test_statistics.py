@@ -175,3 +175,18 @@ def test_features_are_encoded_alike_at_every_size(spark):
         rows = [(i, f"o{i % levels}", float(i % 9), 1 + i % 3) for i in range(2 * levels)]
         split = temporal_split(spark.createDataFrame(rows, "row_id int, Owner string, value double, week int"), "value", "week")
         assert eligible_features(split).hashed == () and eligible_features(split, ["Owner"]).hashed == ("Owner",)
+
+
+@pytest.mark.parametrize("columns", [["Owner", "Size", "Type"], ["Owner", "Size"], ["Owner", "Type", "Size", "Quality"]])
+def test_eliminating_the_widest_column_changes_nothing(spark, columns):
+    rows = [(i, f"o{(i * i) % 13}", float((i * 7) % 11) if i % 9 else None, TYPES[i % 12], f"q{(i // 3) % 3}", float((i * 37) % 23) + i % 5) for i in range(150)]
+    df = spark.createDataFrame(rows, "`Unnamed: 0` int, Owner string, Size double, Type string, Quality string, DaysInDeposit double")
+    df = df.select("Unnamed: 0", *columns, "DaysInDeposit")
+    whole, beside = N.multiple_regression(df, "DaysInDeposit"), N.multiple_regression(df, "DaysInDeposit", max_columns=8)
+    assert beside.built
+    for part, keys in (("summary", []), ("coefficients", ["term"]), ("terms", ["feature"])):
+        a, b = (sorted(getattr(f, part).collect(), key=lambda r: [r[k] for k in keys]) for f in (whole, beside))
+        assert len(a) == len(b)
+        for left, right in zip(a, b):
+            for name in left.asDict():
+                assert left[name] == (pytest.approx(right[name], rel=1e-6, abs=1e-9) if isinstance(left[name], float) else right[name]), name

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -381,26 +382,39 @@ def fit(design: Design) -> tuple[tuple, list[tuple], list[tuple]]:
     explained = _explained(design)
     residual = max(total - explained, 0.0)
     sigma2 = residual / dof if dof > 0 else math.nan
-    model_dof = rank - 1
-    f_value = explained / model_dof / sigma2 if model_dof > 0 and sigma2 > 0 else None
+    summary = _summary(n, len(design.terms), total, residual, rank, dof)
+    return summary, _p_order(_coefficients(design.names[1:], beta[1:], inverse[1:, 1:], sigma2, dof), 4), _p_order(
+        _term_rows(design.terms, beta, inverse, sigma2, dof, residual), 6)
+
+
+def _summary(n: int, features: int, total: float, residual: float, rank: int, dof: int) -> tuple:
+    sigma2, model_dof = residual / dof if dof > 0 else math.nan, rank - 1
+    f_value = (total - residual) / model_dof / sigma2 if model_dof > 0 and sigma2 > 0 else None
     r2 = 1.0 - residual / total if total > 0 else None
     adjusted = 1.0 - (1.0 - r2) * (n - 1) / dof if r2 is not None and dof > 0 else None
     loglik = -n / 2.0 * (math.log(2 * math.pi) + math.log(residual / n) + 1.0) if residual > 0 else None
-    summary = (
-        True, n, len(design.terms), _number(r2), _number(adjusted), _number(f_value), f_tail(f_value, model_dof, dof),
+    return (
+        True, n, features, _number(r2), _number(adjusted), _number(f_value), f_tail(f_value, model_dof, dof),
         None if loglik is None else -2 * loglik + 2 * rank, None if loglik is None else -2 * loglik + math.log(n) * rank,
     )
+
+
+def _coefficients(names, beta, inverse, sigma2: float, dof: int) -> list[tuple]:
     width = t_quantile(0.025, dof) if dof > 0 else math.nan
     coefficients = []
-    for i, name in enumerate(design.names[1:], start=1):
+    for i, name in enumerate(names):
         error = math.sqrt(sigma2 * inverse[i, i]) if sigma2 >= 0 and inverse[i, i] > 0 else math.nan
         t = beta[i] / error if error > 0 else math.nan
         coefficients.append((
             name, _number(beta[i]), _number(error), _number(t), t_two_sided(_number(t), dof),
             _number(beta[i] - width * error), _number(beta[i] + width * error),
         ))
+    return coefficients
+
+
+def _term_rows(terms_of, beta, inverse, sigma2: float, dof: int, residual: float) -> list[tuple]:
     terms = []
-    for feature, (kind, columns) in design.terms.items():
+    for feature, (kind, columns) in terms_of.items():
         index = list(columns)
         block = inverse[np.ix_(index, index)]
         tested = max(int(np.linalg.matrix_rank(block, tol=1e-10 * max(np.abs(block).max(), 1e-300))), 1)
@@ -411,7 +425,113 @@ def fit(design: Design) -> tuple[tuple, list[tuple], list[tuple]]:
             feature, kind, float(len(index)), _number(ss), _number(ss / len(index)), _number(f_term),
             f_tail(f_term, tested, dof), _number(ss / (ss + residual)) if ss + residual > 0 else None,
         ))
-    return summary, _p_order(coefficients, 4), _p_order(terms, 6)
+    return terms
+
+
+def _widest(data: DataFrame, features: Sequence[str]) -> str | None:
+    """Label column with the most levels."""
+    labels = [n for n in features if not is_numeric(data, n)]
+    if not labels:
+        return None
+    parts = [p for n in labels for p in (F.lit(n), F.coalesce(as_text(data, n), F.lit(MISSING_LABEL)))]
+    distinct = data.select(F.stack(F.lit(len(labels)), *parts).alias("feature", "level")).distinct()
+    return distinct.groupBy("feature").agg(F.count("*").alias("d")).orderBy(F.desc("d"), "feature").first()["feature"]
+
+
+def _level_sums(data: DataFrame, target: str, wide: str, design: Design, medians: dict[str, float]) -> DataFrame:
+    """Per level of the wide column: rows, sum of the target, and sums of all other model columns, centred as in ``design``."""
+    y = c(target) - F.lit(design.y_shift)
+    sums = []
+    for feature, (kind, columns) in design.terms.items():
+        if kind == "numeric":
+            mean = float(design.shift[columns[0] - 1])
+            sums.append(F.sum(F.coalesce(present(data, feature).cast("double"), F.lit(medians[feature])) - F.lit(mean)))
+            continue
+        label = F.coalesce(as_text(data, feature), F.lit(MISSING_LABEL))
+        sums += [F.sum((label == design.names[i][len(feature) + 1 : -1]).cast("double")) for i in columns]
+    level = F.coalesce(as_text(data, wide), F.lit(MISSING_LABEL)).alias("level")
+    others = F.array(*sums) if sums else F.array().cast("array<double>")
+    return data.groupBy(level).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("sy"), others.alias("v"))
+
+
+def _outer_products(batches):
+    """Sums over the levels of one task: v v'/n, v sy/n and sy sy/n."""
+    total = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, sy = batch.column("n").to_numpy(), batch.column("sy").to_numpy()
+        v = np.array(batch.column("v").to_pylist(), float).reshape(len(n), -1)
+        joined = np.column_stack([v, sy])
+        part = (joined / n[:, None]).T @ joined
+        total = part if total is None else total + part
+    if total is not None:
+        yield pa.record_batch({"sums": pa.array([total.tobytes()], pa.binary()), "levels": pa.array([0], pa.int64())})
+
+
+def _level_effects(beta: np.ndarray, inverse: np.ndarray, sigma2: float, first: tuple):
+    """Coefficient and error of each level against the first one."""
+    n0, y0, v0 = first
+
+    def run(batches):
+        for batch in batches:
+            n, sy = batch.column("n").to_numpy(), batch.column("sy").to_numpy()
+            v = np.array(batch.column("v").to_pylist(), float).reshape(len(n), -1)
+            apart = v / n[:, None] - v0 / n0
+            spread = 1 / n + 1 / n0 + ((apart @ inverse) * apart).sum(axis=1)
+            yield pa.record_batch({
+                "level": batch.column("level"), "estimate": pa.array(sy / n - y0 / n0 - apart @ beta), "std_error": pa.array(np.sqrt(sigma2 * spread)),
+            })
+    return run
+
+
+def _fit_beside(data: DataFrame, target: str, used: Sequence[str], max_columns: int) -> tuple[tuple, DataFrame, list[tuple]]:
+    """The same least squares with the widest label column eliminated.
+
+    Its block of the normal equations is diagonal, so sums per level give the equations of all
+    other columns, which are solved here, and the level coefficients stay a distributed table. Where columns are
+    collinear the coefficients are one of the solutions; the fit is the same.
+    """
+    wide = _widest(data, used)
+    others = [n for n in used if n != wide]
+    if wide is None or not others:
+        raise DesignTooWide("no column is left beside the widest one")
+    design = build_design(data, target, others, max_columns)
+    numeric = [n for n in others if is_numeric(data, n)]
+    medians = {n: 0.0 for n in numeric}
+    if numeric:
+        found = quantiles(long_numbers(data, numeric), ["column"], "value", {"m": 0.5}, small=is_small(data))
+        medians |= {r["column"]: float(r["m"] or 0.0) for r in found.collect()}
+    sums = materialised(_level_sums(data, target, wide, design, medians))
+    levels, size = sums.count(), len(design.names) - 1
+    absorbed = np.zeros((size + 1, size + 1))
+    for row in sums.coalesce(16).mapInArrow(_outer_products, "sums binary, levels bigint").collect():
+        absorbed += np.frombuffer(row["sums"]).reshape(size + 1, size + 1)
+    schur, moment = design.gram[1:, 1:] - absorbed[:-1, :-1], design.moment[1:] - absorbed[:-1, -1]
+    scale = np.sqrt(np.maximum(np.diag(design.gram)[1:], 1e-300))
+    unit = schur / np.outer(scale, scale)
+    inverse = np.linalg.pinv(unit, rcond=1e-10, hermitian=True) / np.outer(scale, scale)
+    rank = levels + int(np.linalg.matrix_rank(unit, tol=1e-10, hermitian=True))
+    beta = inverse @ moment
+    total = design.y_square - design.moment[0] ** 2 / design.n
+    residual = max(design.y_square - absorbed[-1, -1] - float(moment @ beta), 0.0)
+    dof = design.n - rank
+    sigma2 = residual / dof if dof > 0 else math.nan
+    summary = _summary(design.n, len(used), total, residual, rank, dof)
+    terms = _term_rows({k: (kind, tuple(i - 1 for i in at)) for k, (kind, at) in design.terms.items()}, beta, inverse, sigma2, dof, residual)
+    without, df = max(total - _explained(design) - residual, 0.0), float(levels - 1)
+    f_wide = without / df / sigma2 if df > 0 and sigma2 > 0 else None
+    terms.append((wide, "categorical", df, _number(without), _number(without / df) if df else None, _number(f_wide), f_tail(f_wide, df, dof),
+                  _number(without / (without + residual)) if without + residual > 0 else None))
+    first = sums.orderBy("level").first()
+    effects = sums.filter(F.col("level") != first["level"]).mapInArrow(
+        _level_effects(beta, inverse, sigma2, (first["n"], first["sy"], np.array(first["v"], float))), "level string, estimate double, std_error double")
+    width, t = t_quantile(0.025, dof) if dof > 0 else math.nan, F.try_divide("estimate", "std_error")
+    listed = effects.select(
+        F.concat(F.lit(f"{wide}["), "level", F.lit("]")).alias("term"), "estimate", "std_error", t.alias("t_value"), t_p(t, F.lit(float(dof))).alias("p_value"),
+        (F.col("estimate") - width * F.col("std_error")).alias("ci_low"), (F.col("estimate") + width * F.col("std_error")).alias("ci_high"))
+    own = data.sparkSession.createDataFrame(_coefficients(design.names[1:], beta, inverse, sigma2, dof), COEFFICIENT_SCHEMA)
+    return summary, own.unionByName(listed).orderBy(F.asc_nulls_last("p_value"), "term"), _p_order(terms, 6)
 
 
 def _explained(design: Design) -> float:
@@ -458,8 +578,11 @@ def multiple_regression(
         notes.append(("no_features_after_cleaning", "warning", None, "No predictor varies.", "Check the extract."))
         return _unbuilt(df, warnings.unionByName(warning_rows(df, notes)))
     try:
-        design = build_design(data, target, used, max_columns)
-        summary, coefficients, terms = fit(design)
+        try:
+            summary, coefficients, terms = fit(build_design(data, target, used, max_columns))
+            coefficients = df.sparkSession.createDataFrame(coefficients, COEFFICIENT_SCHEMA)
+        except DesignTooWide:
+            summary, coefficients, terms = _fit_beside(data, target, used, max_columns)
     except (DesignTooWide, np.linalg.LinAlgError) as error:
         notes.append(("multiple_regression_fit_failed", "error", None, f"The model was not fitted: {error}.", "Group wide or collinear features."))
         return _unbuilt(df, warnings.unionByName(warning_rows(df, notes)))
@@ -472,7 +595,7 @@ def multiple_regression(
         ("significant_terms", bool(strong), ", ".join(strong)),
     ]
     return Regression(
-        spark.createDataFrame([summary], SUMMARY_SCHEMA), spark.createDataFrame(coefficients, COEFFICIENT_SCHEMA),
+        spark.createDataFrame([summary], SUMMARY_SCHEMA), coefficients,
         spark.createDataFrame(terms, TERM_SCHEMA), spark.createDataFrame(conclusions, CONCLUSION_SCHEMA),
         warnings.unionByName(warning_rows(df, notes)), True,
     )
