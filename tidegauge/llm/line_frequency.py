@@ -96,15 +96,15 @@ def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "t
 
 
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                 min_docs: int = 10, host_share: float = 0.01, min_words: int = 20, min_left: float = 0.2,
+                 min_docs: int = 10, host_share: float = 0.01, min_left: float = 0.3,
                  with_text: bool = False) -> DataFrame:
     """One row per input row with base measures, removed words and the verdict ``kept``.
 
     Lines found in more than ``min_docs`` distinct documents and more than ``host_share`` of the
     distinct documents of their host are removed, except from the document that holds them first
-    (smallest text hash). A document is rejected if a base rule fails (under ``min_words`` words, or
-    over 30 % of its words in repeated windows), or if under ``min_words`` words or under
-    ``min_left`` of its words are left. ``with_text`` adds ``clean_text``, the text without removed lines.
+    (smallest text hash). A document is rejected if a base rule fails (under 20 words, or over 30 % of
+    its words in repeated windows), or as depleted if under ``min_left`` of its words are left.
+    ``with_text`` adds ``clean_text``, the text without removed lines.
 
     A null text has no words and fails the base rule. A null host is a host of its own. Repeated
     rows each give a row. An empty table gives an empty result. Other columns are not read.
@@ -132,6 +132,6 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.split("text", "\n"), lambda line: ~F.array_contains(F.col("gone"), F.xxhash64(F.trim(_tidy(line))))), "\n")
     return per_doc.select(
         F.col("id").alias(id_col), "m.*", "n_removed_words", failed.alias("base_failed"),
-        (~failed & (left >= min_words) & (left >= min_left * n)).alias("kept"),
+        (~failed & (left >= min_left * n)).alias("kept"),
         *([clean.alias("clean_text")] if with_text else []),
     )
