@@ -74,11 +74,9 @@ def test_benchmark(split):
     assert predictions.count() == 112 and predictions.filter("predicted < 0").count() == 0
 
 
-def test_wide_labels_are_hashed(split, monkeypatch):
-    monkeypatch.setattr(M, "ONE_HOT_LEVELS", 4)
-    features = M.eligible_features(split)
-    assert features.hashed and set(features.hashed) <= set(features.categorical)
-    found = M.run_benchmark(split, {"Decision Tree": M.default_models()["Decision Tree"]}, ["raw"])
+def test_labels_are_hashed_on_demand(split):
+    assert M.eligible_features(split).hashed == () and M.eligible_features(split, ["Owner"]).hashed == ("Owner",)
+    found = M.run_benchmark(split, {"Decision Tree": M.default_models()["Decision Tree"]}, ["raw"], hashed=["Owner"])
     assert found.rows.filter("strategy = 'raw'").first()["mae"] is not None
 
 
@@ -88,5 +86,7 @@ def test_evaluate(history):
     assert found.comparison.first()["winner"] in {"regression", "heuristic", "tie"}
     assert {"temporal_holdout", "target_high_skew"} <= {r["code"] for r in found.warnings.collect()}
     assert found.regression.built and found.tests.count() == 5
+    assert sum(r["n"] for r in found.tiers.collect()) == found.predictions.count() == 112
+    assert "regression_mae" in found.segments.columns and found.segments.filter("regression_mae IS NULL").count() == 0
     alone = evaluate(history.filter("week = 1"), models=small)
     assert alone.split is None and "insufficient_temporal_history" in {r["code"] for r in alone.warnings.collect()}
