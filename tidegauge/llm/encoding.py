@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 #: White space as the tokenizers' patterns know it, by code point (fixed values).
 UNICODE_SPACE = "".join(map(chr, (
@@ -17,7 +18,16 @@ SPACE_AND_WORD = re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SP
 #: Words alone, for tokenizers that drop white space (word_bpe_49k.json).
 WORD_ONLY = re.compile(f"[^{UNICODE_SPACE}]+")
 LONG_PIECE = 256
-MEMORY = 700_000
+MEMORY = 250_000
+#: Rows encoded and handed on at a time.
+SLICE = 512
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """The batches in parts of at most ``SLICE`` rows, so that a task holds few texts and ids at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
 
 
 class PieceEncoder:

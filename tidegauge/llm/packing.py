@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import staged, text_of
-from tidegauge.llm.encoding import SPACE_AND_WORD, encoder
+from tidegauge.llm.encoding import SPACE_AND_WORD, encoder, slices
 
 BUCKETS, DIMENSIONS, BITS = 256, 4, 8
 TIE_BITS = 63 - DIMENSIONS * BITS
 SLICE_TOKENS = 64_000_000
-WRITE_BYTES = 16_000_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -65,14 +64,12 @@ def _tokenise(path: str, end_id: int, seed: int) -> Callable:
         coder = encoder(path, SPACE_AND_WORD)
         place = CurvePlace(max(coder.tokenizer.get_vocab_size(), end_id + 1), seed)
         end = np.array([end_id], coder.dtype).tobytes()
-        for batch in batches:
-            ids = [coder.encoded(t) + end for t in batch.column("text").to_pylist()]
+        for batch in slices(batches):
+            ids = [coder.encoded(t.as_py()) + end for t in batch.column("text")]
             arrays = [np.frombuffer(x, coder.dtype) for x in ids]
-            step = 512
-            keys = [place.keys(arrays[i : i + step]) for i in range(0, len(arrays), step)]
             yield pa.record_batch({
                 "id": batch.column("id"), "tie": batch.column("tie"),
-                "key": pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)),
+                "key": pa.array(place.keys(arrays)),
                 "doc_tokens": pa.array([len(a) for a in arrays], pa.int64()),
                 "ids": pa.array([a.astype("<u4").tobytes() for a in arrays] if coder.dtype.itemsize > 2 else ids, pa.binary()),
             })
