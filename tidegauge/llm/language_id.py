@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import broadcast_if_small, checkpointed, text_of, unused
@@ -58,16 +57,16 @@ def text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                rows_per_language: int = FIT_ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (language, n-gram bucket).
 
-    Fitted on at most ``rows_per_language`` labelled rows of each language outside fold 0 of 10, those with the
-    smallest hash of id and text. A language needs ``LEAST_ROWS`` rows.
+    Fitted on about ``rows_per_language`` labelled rows of each language outside fold 0 of 10 (all where there are fewer),
+    those whose hash of id and text lies below the language's share. A language needs ``LEAST_ROWS`` rows.
     """
     text = text_of(text_col)
     rows = docs.where(F.col(label_col).isNotNull() & (fold(F.col(id_col), 10) != 0)).select(
         F.col(label_col).cast("string").alias("label"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h"))
-    place = F.row_number().over(W.partitionBy("label").orderBy("h"))
+    below = (-(2.0**63) + 2.0**64 * (rows_per_language / F.col("rows"))).cast("bigint")
     borders = checkpointed(
-        rows.select("label", "h").withColumn("place", place).where(F.col("place") <= rows_per_language)
-        .groupBy(F.col("label").alias("of_label")).agg(F.max("h").alias("border"), F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS)
+        rows.groupBy(F.col("label").alias("of_label")).agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS)
+        .select("of_label", F.when(F.col("rows") <= rows_per_language, F.lit(2**63 - 1)).otherwise(below).alias("border"))
     )
     chosen = rows.join(broadcast_if_small(borders, 128), (F.col("label") == F.col("of_label")) & (F.col("h") <= F.col("border")))
     kind = "label string, counts binary"
@@ -82,8 +81,8 @@ def _likelihoods(table: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             logs, sizes = [], []
-            for text in batch.column("text").to_pylist():
-                grams = gram_ids(text)
+            for text in batch.column("text"):
+                grams = gram_ids(text.as_py())
                 log = table[:, grams].sum(axis=1) * (min(1.0, TEXT_GRAMS / len(grams)) if len(grams) else 0.0)
                 logs.append(log - log.max() if len(log) else log)
                 sizes.append(len(grams))
