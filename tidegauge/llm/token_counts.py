@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import SPACE, checkpointed, text_of
-from tidegauge.llm.encoding import WORD_ONLY, encoder
+from tidegauge.llm.encoding import WORD_ONLY, encoder, slices
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
 
@@ -29,8 +29,8 @@ def one_space(text: Column) -> Column:
 def _encode(path: str, version: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = encoder(path, WORD_ONLY)
-        for batch in batches:
-            counts = counter.counts(batch.column("norm").to_pylist())
+        for batch in slices(batches):
+            counts = counter.counts(t.as_py() for t in batch.column("norm"))
             yield pa.record_batch({
                 "digest": batch.column("digest"), "version": pa.array([version] * len(counts), pa.string()), "n_tokens": pa.array(counts),
             })
@@ -62,7 +62,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     misses = contents.join(stored, "digest", "left_anti")
     misses.mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
-    counts = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join below is of two plain tables and a hot content's rows can be split.
+    counts = checkpointed(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     return keys.join(counts, "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
