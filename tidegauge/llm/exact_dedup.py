@@ -54,7 +54,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             told.select("id", "sha", "__row", "h", F.when(F.col("mixed"), F.col("norm")).otherwise("").alias("alike"))
         )
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row"))
-    groups = rows.groupBy("h", "alike").agg(F.count("*").alias("group_size"), first.alias("first"))
+    # Written, so that the join below is of two plain tables and a hot group's rows can be split.
+    groups = checkpointed(rows.groupBy("h", "alike").agg(F.count("*").alias("group_size"), first.alias("first")))
     return rows.join(groups, ["h", "alike"]).select(
         F.col("id").alias(id_col),
         F.col("first.id").alias("keep_id"),
