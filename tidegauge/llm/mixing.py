@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import SPACE, broadcast_if_small, checkpointed, columns_of, numbered, text_of, unused
 
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def quality_weight(text: Column) -> Column:
