@@ -17,6 +17,10 @@ from tidegauge.llm.packing import pack
 from tidegauge.llm.simhash import near_dedup
 
 
+#: Fewer text pieces than by default, as workers still hold memory of earlier stages.
+REMEMBERED = 250_000
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go."""
     return accepted_documents(docs)
@@ -39,7 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences along the curve."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -18,7 +18,7 @@ SPACE_AND_WORD = re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SP
 #: Words alone, for tokenizers that drop white space (word_bpe_49k.json).
 WORD_ONLY = re.compile(f"[^{UNICODE_SPACE}]+")
 LONG_PIECE = 256
-MEMORY = 250_000
+MEMORY = 700_000
 #: Rows encoded and handed on at a time.
 SLICE = 512
 
@@ -81,9 +81,9 @@ class PieceEncoder:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, pieces: re.Pattern) -> PieceEncoder:
+def encoder(path: str, pieces: re.Pattern, memory: int = MEMORY) -> PieceEncoder:
     """The encoder of this worker process."""
-    key = (path, pieces.pattern)
+    key = (path, pieces.pattern, memory)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, pieces)
+        _ENCODERS[key] = PieceEncoder(path, pieces, memory)
     return _ENCODERS[key]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import staged, text_of
-from tidegauge.llm.encoding import SPACE_AND_WORD, encoder, slices
+from tidegauge.llm.encoding import MEMORY, SPACE_AND_WORD, encoder, slices
 
 BUCKETS, DIMENSIONS, BITS = 256, 4, 8
 TIE_BITS = 63 - DIMENSIONS * BITS
@@ -59,9 +59,9 @@ class CurvePlace:
         return hilbert_keys(cells)
 
 
-def _tokenise(path: str, end_id: int, seed: int) -> Callable:
+def _tokenise(path: str, end_id: int, seed: int, remembered: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, SPACE_AND_WORD)
+        coder = encoder(path, SPACE_AND_WORD, remembered)
         place = CurvePlace(max(coder.tokenizer.get_vocab_size(), end_id + 1), seed)
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in slices(batches):
@@ -104,7 +104,7 @@ def _cut(starts: np.ndarray, length: int, width: int, with_ids: bool, schema: pa
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0,
-         seed: int = 42, with_ids: bool = False) -> DataFrame:
+         seed: int = 42, with_ids: bool = False, remembered: int = MEMORY) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with its ``ids`` on demand.
 
     1. Each text is encoded once, with ``end_id`` behind it; its ids are hashed into a vector,
@@ -115,6 +115,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
        ``length`` without a gap. A document longer than what is left goes on in the next sequence.
        Only the very last sequence is short.
 
+    ``remembered`` bounds the text pieces a worker keeps encoded: more take memory, fewer take time, the result is the same.
+
     A null text is empty: its one id is ``end_id``. Repeated rows are documents of their own. A
     null id stays null. An empty table gives an empty result. Other columns are not read.
     """
@@ -124,7 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     tie = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text), 64 - TIE_BITS)
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), tie.alias("tie"))
     id_type = source.schema["id"].dataType.simpleString()
-    encoded = source.mapInArrow(_tokenise(tokenizer_path, end_id, seed), f"id {id_type}, tie bigint, key bigint, doc_tokens bigint, ids binary")
+    encoded = source.mapInArrow(_tokenise(tokenizer_path, end_id, seed, remembered), f"id {id_type}, tie bigint, key bigint, doc_tokens bigint, ids binary")
     stage = staged(encoded.withColumn("place", F.shiftleft("key", TIE_BITS).bitwiseOR(F.col("tie"))).drop("key", "tie"))
     total = stage.agg(F.sum("doc_tokens")).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE_TOKENS))
