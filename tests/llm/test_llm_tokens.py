@@ -115,6 +115,33 @@ def test_base_scores_are_exact_however_few_words_are_broadcast(spark, known):
     assert all(r[6] < 0 for r in got)
 
 
+def brute_score(data):
+    value = count_of_level()
+    tokens = [[b"\n", *(t or "").encode().lower().split(), b"\n"] for _, t in data]
+    train = [words for (i, _), words in zip(data, tokens) if zlib.crc32(str(i).encode()) % 10]
+    single, double = Counter(w for words in train for w in words[1:]), Counter(p for words in train for p in zip(words, words[1:]))
+    about = lambda c: float(value[levels_of(np.array([c]))[0]]) if c else 0.0
+    below = sum(single.values()) + 0.1 * (len(single) + 1)
+    out = []
+    for (i, _), words in zip(data, tokens):
+        terms = [(about(single[a]), (about(single[b]) + 0.1) / below, about(double[a, b])) for a, b in zip(words, words[1:])]
+        out.append((i, sum(math.log10((min(both, before) + 20 * alone) / (before + 20)) for before, alone, both in terms)))
+    return dict(out)
+
+
+@pytest.mark.parametrize("segment_tokens,chunk_bytes", [(2_000_000, 8_000_000), (500, 3000)])
+def test_no_ngram_is_dropped_however_small_the_filter_begins(spark, monkeypatch, segment_tokens, chunk_bytes):
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", chunk_bytes, raising=False)
+    picked = random.Random(3)
+    data = [(i, " ".join(f"w{int(picked.paretovariate(0.6)) % 5000}" for _ in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)
+    want = brute_score(data)
+    wide = {r.doc_id: r.score for r in language_model_scores(docs, filter_bits=1 << 26, segment_tokens=segment_tokens).collect()}
+    assert wide == pytest.approx(want, rel=1e-6)
+    tight = {r.doc_id: r.score for r in language_model_scores(docs, filter_bits=1 << 10, segment_tokens=segment_tokens).collect()}
+    assert sum(abs(tight[i] - want[i]) for i in want) < 0.02 * sum(abs(x) for x in want.values())
+
+
 def test_scores_without_rows_or_training_rows(spark):
     assert rows(language_model_scores(empty(spark), filter_bits=1 << 16)) == []
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0][:2]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
@@ -20,7 +21,7 @@ BASE = 1.5
 SEGMENT_TOKENS = 2_000_000
 MOST_SEGMENTS = 1 << 20
 KNOWN_WORDS = 1 << 18
-FLUSH_TOKENS = 1_500_000
+CHUNK_BYTES = 8_000_000
 SMOOTHING = 0.1
 PRIOR = 20.0
 #: log-frequency class of a count, and the counts that a class stands for.
@@ -95,8 +96,15 @@ class LogBloom:
         b = mixed(a) | np.uint64(1)
         return ((a + np.uint64(probe) * b) & np.uint64(self.size - 1)).astype(np.int64)
 
+    @classmethod
+    def holding(cls, counts: np.ndarray, least: int) -> LogBloom:
+        """A filter of one segment with room for every n-gram of these counts, of ``least`` bits or more."""
+        needed = max(64, least, int(levels_of(counts).sum() * PROBES / np.log(2)) + 1)
+        return cls(1, 1 << (needed - 1).bit_length())
+
     def build(self, h: np.ndarray, counts: np.ndarray) -> bytes:
-        """Bits of one segment. Whole classes of equal counts go in, largest first, as far as the capacity reaches."""
+        """Bits of one segment. Whole classes of equal counts go in, largest first, as far as the capacity reaches;
+        a filter made by ``holding`` takes all."""
         levels = levels_of(counts)
         order = np.argsort(-counts, kind="stable")
         h, counts, levels = h[order], counts[order], levels[order]
@@ -125,57 +133,91 @@ class LogBloom:
         return level
 
 
-def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    return h[starts], np.add.reduceat(c, starts) if len(h) else c
+def _packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row: a chunk, named by its first row, the bytes of its texts, and its rows as a compressed Arrow stream."""
+    rows, sink = pa.Table.from_batches(held), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+        file.write_table(rows)
+    return pa.record_batch({
+        "chunk": pa.array([rows.column("row")[0].as_py()], pa.int64()),
+        "bytes": pa.array([pc.sum(pc.binary_length(rows.column("text"))).as_py()], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+    })
+
+
+def _unpacked(docs: bytes) -> pa.Table:
+    return pa.ipc.open_stream(docs).read_all()
+
+
+def _chunked(most: int) -> Callable:
+    """Rows in packed chunks: neighbours of about ``most`` bytes together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            start = 0
+            for i, length in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+                size += length + 100
+                if size > most:
+                    yield _packed([*held, batch.slice(start, i + 1 - start)])
+                    held, size, start = [], 0, i + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield _packed(held)
+    return run
 
 
-def _partial_counts(bloom: LogBloom) -> Callable:
-    """Per task and segment one row: packed n-gram hashes and their counts in the task's training texts."""
-    def rows_of(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        segment = bloom.segment(h)
+def _chunk_grams(segments: int) -> Callable:
+    """Of each chunk a row per segment: its distinct n-gram hashes in order, and their counts in training texts (0 for held-out ones)."""
+    def rows_of(chunk: int, docs: pa.Table) -> pa.RecordBatch:
+        tokens, sizes = zip(*(token_hashes(texts) for texts in text_chunks(docs.column("text"))))
+        tokens = np.concatenate(tokens)
+        train = np.repeat(~docs.column("held_out").to_numpy().astype(bool), np.concatenate(sizes))
+        h, of = np.unique(np.concatenate([tokens, pair_hashes(tokens)]), return_inverse=True)
+        c = np.bincount(of, np.tile(train, 2), len(h)).astype("<u4")
+        segment = LogBloom(segments, segments).segment(h)
         cuts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         ends = np.append(cuts[1:], len(h))
         return pa.record_batch({
-            "segment": pa.array(segment[cuts], pa.int32()),
+            "chunk": pa.array([chunk] * len(cuts), pa.int64()), "segment": pa.array(segment[cuts], pa.int32()),
             "grams": pa.array([h[a:z].tobytes() for a, z in zip(cuts, ends)], pa.binary()),
-            "counts": pa.array([c[a:z].astype("<u4").tobytes() for a, z in zip(cuts, ends)], pa.binary()),
+            "counts": pa.array([c[a:z].tobytes() for a, z in zip(cuts, ends)], pa.binary()),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            for texts in text_chunks(batch.column("text")):
-                tokens = token_hashes(texts)[0]
-                held += [tokens, pair_hashes(tokens)]
-                size += len(tokens)
-                if size > FLUSH_TOKENS:
-                    yield rows_of(held)
-                    held, size = [], 0
-        if size:
-            yield rows_of(held)
+            for chunk, docs in zip(batch.column("chunk"), batch.column("docs")):
+                yield rows_of(chunk.as_py(), _unpacked(docs.as_py()))
     return run
 
 
-def _build(bloom: LogBloom) -> Callable:
-    """Per segment one row: its filter bits, and the words among its n-grams with exact counts."""
+def _answers(least_bits: int) -> Callable:
+    """Per segment one row with the exact counts of its words, and for each chunk a row with the levels of the n-grams it asked for.
+
+    The filter of the segment is sized by its counted n-grams, so it holds every one of them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, tuple[list, list]] = {}
+        parts: dict[int, tuple[list, list, list]] = {}
         for batch in batches:
-            for s, h, c in zip(batch.column("segment").to_pylist(), batch.column("grams").to_pylist(), batch.column("counts").to_pylist()):
-                held = parts.setdefault(s, ([], []))
-                held[0].append(np.frombuffer(h, np.uint64))
-                held[1].append(np.frombuffer(c, "<u4").astype(np.int64))
+            for s, chunk, h, c in zip(*(batch.column(k).to_pylist() for k in ("segment", "chunk", "grams", "counts"))):
+                held = parts.setdefault(s, ([], [], []))
+                held[0].append(chunk)
+                held[1].append(np.frombuffer(h, np.uint64))
+                held[2].append(np.frombuffer(c, "<u4"))
         for s in sorted(parts):
-            hs, cs = parts.pop(s)
-            h, c = _summed(np.concatenate(hs), np.concatenate(cs))
-            word = (h & np.uint64(1)) == 1
+            chunks, hs, cs = parts.pop(s)
+            ends = np.cumsum([len(h) for h in hs])
+            h, of = np.unique(np.concatenate(hs), return_inverse=True)
+            c = np.bincount(of, np.concatenate(cs), len(h)).astype(np.int64)
+            seen = c > 0
+            bloom = LogBloom.holding(c[seen], least_bits)
+            bits = np.frombuffer(bloom.build(h[seen], c[seen]), np.uint8)
+            levels = bloom.read(bits, h).astype(np.uint8)[of]
+            word = seen & ((h & np.uint64(1)) == 1)
             yield pa.record_batch({
-                "segment": pa.array([s], pa.int32()), "bits": pa.array([bloom.build(h, c)], pa.binary()),
-                "words": pa.array([h[word].tobytes()], pa.binary()), "word_counts": pa.array([c[word].tobytes()], pa.binary()),
+                "segment": pa.array([s] * (len(chunks) + 1), pa.int32()), "chunk": pa.array([None, *chunks], pa.int64()),
+                "levels": pa.array([None, *(x.tobytes() for x in np.split(levels, ends[:-1]))], pa.binary()),
+                "words": pa.array([h[word].tobytes(), *[None] * len(chunks)], pa.binary()),
+                "word_counts": pa.array([c[word].tobytes(), *[None] * len(chunks)], pa.binary()),
             })
     return run
 
@@ -187,44 +229,50 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(model: object) -> Callable:
-    """Score and the part of the base score that the known words give; other tokens are handed on with their number."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        bloom, bits, value = LogBloom(m["segments"], m["filter_bits"]), m["bits"], count_of_level()
-        n, denominator = m["tokens"], m["tokens"] + SMOOTHING * (m["vocabulary"] + 1)
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "others", "times")}
-            for texts in text_chunks(batch.column("text")):
-                tokens, sizes = token_hashes(texts)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                words, word_of = np.unique(tokens, return_inverse=True)
-                found = np.minimum(np.searchsorted(m["words"], words), max(len(m["words"]) - 1, 0))
-                hit = m["words"][found] == words if len(m["words"]) else np.zeros(len(words), bool)
-                exact = np.where(hit, m["counts"][found] if len(m["words"]) else 0, 0)
-                base = np.where(hit, np.log10((exact + SMOOTHING) / denominator), 0.0)
-                about = value[bloom.read(bits, words)]
-                single = (about + SMOOTHING) / denominator
-                pairs, pair_of = np.unique(pair_hashes(tokens), return_inverse=True)
-                together = value[bloom.read(bits, pairs)][pair_of]
-                before = np.concatenate([[value[bloom.read(bits, token_hashes([""])[0])][0]], about[word_of][:-1]])
-                p = (np.minimum(together, before) + PRIOR * single[word_of]) / (before + PRIOR)
-                total = lambda x: np.bincount(doc, x, len(sizes))
-                out["n_tokens"] += sizes.tolist()
-                out["known"] += total(hit[word_of]).astype(np.int64).tolist()
-                out["base"] += total(base[word_of]).tolist()
-                out["score"] += total(np.log10(p)).tolist()
-                left = ~hit[word_of]
-                keys, times = np.unique(np.stack([doc[left], word_of[left]]), axis=1, return_counts=True)
-                cuts = np.searchsorted(keys[0], np.arange(len(sizes) + 1))
-                others = words[keys[1]].view(np.int64)
-                out["others"] += [others[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
-                out["times"] += [times[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
-            longs = pa.list_(pa.int64())
-            yield pa.record_batch({
-                "id": batch.column("id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-                "known": pa.array(out["known"], pa.int64()), "base": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64()),
-                "others": pa.array(out["others"], longs), "times": pa.array(out["times"], longs),
-            })
+    """Score of the texts of a chunk and the part of the base score that the known words give; other tokens are handed on with their number."""
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _unpacked(chunk.column("docs")[0].as_py())
+        m, value = model.value, count_of_level()
+        denominator = m["tokens"] + SMOOTHING * (m["vocabulary"] + 1)
+        # Segments are leading bits, so answers in order of segments belong to the chunk's n-grams in order of hashes.
+        answers = answers.sort_by("segment")
+        parts = [token_hashes(texts) for texts in text_chunks(docs.column("text"))]
+        grams = np.unique(np.concatenate([x for tokens, _ in parts for x in (tokens, pair_hashes(tokens))]))
+        levels = np.concatenate([np.frombuffer(x, np.uint8) for x in answers.column("levels").to_pylist()])
+        if len(levels) != len(grams):
+            raise ValueError(f"{len(levels)} answers for {len(grams)} n-grams")
+        count = lambda h: value[levels[np.searchsorted(grams, h)]]
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "others", "times")}
+        for tokens, sizes in parts:
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            words, word_of = np.unique(tokens, return_inverse=True)
+            found = np.minimum(np.searchsorted(m["words"], words), max(len(m["words"]) - 1, 0))
+            hit = m["words"][found] == words if len(m["words"]) else np.zeros(len(words), bool)
+            exact = np.where(hit, m["counts"][found] if len(m["words"]) else 0, 0)
+            base = np.where(hit, np.log10((exact + SMOOTHING) / denominator), 0.0)
+            about = count(words)
+            single = (about + SMOOTHING) / denominator
+            pairs, pair_of = np.unique(pair_hashes(tokens), return_inverse=True)
+            together = count(pairs)[pair_of]
+            before = np.concatenate([count(token_hashes([""])[0]), about[word_of][:-1]])
+            p = (np.minimum(together, before) + PRIOR * single[word_of]) / (before + PRIOR)
+            total = lambda x: np.bincount(doc, x, len(sizes))
+            out["n_tokens"] += sizes.tolist()
+            out["known"] += total(hit[word_of]).astype(np.int64).tolist()
+            out["base"] += total(base[word_of]).tolist()
+            out["score"] += total(np.log10(p)).tolist()
+            left = ~hit[word_of]
+            keys, times = np.unique(np.stack([doc[left], word_of[left]]), axis=1, return_counts=True)
+            cuts = np.searchsorted(keys[0], np.arange(len(sizes) + 1))
+            others = words[keys[1]].view(np.int64)
+            out["others"] += [others[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+            out["times"] += [times[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+        longs = pa.list_(pa.int64())
+        return pa.table({
+            "__row": docs.column("row"), "id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
+            "known": pa.array(out["known"], pa.int64()), "base": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64()),
+            "others": pa.array(out["others"], longs), "times": pa.array(out["times"], longs),
+        })
     return run
 
 
@@ -237,12 +285,13 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
                           known_words: int = KNOWN_WORDS, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    1. Tasks count words and word pairs of their training texts (fold not 0) and send each
-       segment of the hash space its packed counts. A task per segment sums them and builds the segment of
-       a log-frequency Bloom filter of ``filter_bits`` in all, that being the bound of what is broadcast.
-       Where n-grams exceed a segment's capacity, those with the largest counts stay.
+    1. Texts are written in packed chunks of about 8 MB. Each chunk sends every segment of the hash space its distinct
+       words and word pairs, packed, with their counts in the training texts (fold not 0). A task per segment sums them,
+       builds a log-frequency Bloom filter sized by what it counted, so that no n-gram is dropped, and
+       sends each chunk the levels it asked for. Segments grow in number with the corpus, so a task's memory stays the
+       same. ``filter_bits`` is the least size of all filters together.
     2. ``score`` is the log10 probability of the text: a word's count after its predecessor, read from the
-       filter, smoothed with ``PRIOR`` virtual counts spread by the words' own smoothed frequency.
+       filters, smoothed with ``PRIOR`` virtual counts spread by the words' own smoothed frequency.
     3. ``base_score`` needs exact counts. Words above a count that at most ``known_words`` reach are
        broadcast (12 bytes each); the tokens left over join the other words' counts by a shuffle.
 
@@ -252,14 +301,15 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), (fold(F.col(id_col), folds) == 0).alias("held_out"))
-    train = source.where(~F.col("held_out")).select("text")
-    bytes_read = train.agg(F.sum(F.length("text"))).first()[0] or 0
-    wanted = max(1, min(MOST_SEGMENTS, filter_bits // 256, bytes_read // (6 * segment_tokens)))
-    bloom = LogBloom(1 << (wanted.bit_length() - 1 + (wanted & (wanted - 1) > 0)), filter_bits)
-    partial = train.mapInArrow(_partial_counts(bloom), "segment int, grams binary, counts binary")
-    built = staged(partial.repartitionById(bloom.segments, F.col("segment")).mapInArrow(
-        _build(bloom), "segment int, bits binary, words binary, word_counts binary"))
-    counts = checkpointed(built.select("words", "word_counts").mapInArrow(_words, "h bigint, c bigint"))
+    id_type = source.schema["id"].dataType.simpleString()
+    texts = staged(numbered(source, "row").mapInArrow(_chunked(CHUNK_BYTES), "chunk bigint, bytes bigint, docs binary"))
+    bytes_read = texts.agg(F.sum("bytes")).first()[0] or 0
+    wanted = max(1, min(MOST_SEGMENTS, bytes_read // (6 * segment_tokens)))
+    segments = 1 << (wanted.bit_length() - 1 + (wanted & (wanted - 1) > 0))
+    grams = texts.select("chunk", "docs").mapInArrow(_chunk_grams(segments), "chunk bigint, segment int, grams binary, counts binary")
+    built = staged(grams.repartitionById(segments, F.col("segment")).mapInArrow(
+        _answers(filter_bits // segments), "segment int, chunk bigint, levels binary, words binary, word_counts binary"))
+    counts = checkpointed(built.where(F.col("chunk").isNull()).select("words", "word_counts").mapInArrow(_words, "h bigint, c bigint"))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, vocabulary = total["n"] or 0, total["v"]
 
@@ -274,17 +324,13 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = counts.where(F.col("c") >= least).toArrow()
     words = known.column("h").to_numpy().view(np.uint64) if known.num_rows else np.empty(0, np.uint64)
     order = np.argsort(words)
-    bits = np.zeros((bloom.segments, bloom.size // 8), np.uint8)
-    part = built.select("segment", "bits").toArrow()
-    for s, b in zip(part.column("segment").to_pylist(), part.column("bits")):
-        bits[s] = np.frombuffer(b.as_buffer(), np.uint8)
     model = spark.sparkContext.broadcast({
-        "segments": bloom.segments, "filter_bits": filter_bits, "bits": bits.reshape(-1), "tokens": tokens, "vocabulary": vocabulary,
-        "words": words[order], "counts": (known.column("c").to_numpy() if known.num_rows else np.empty(0, np.int64))[order].astype(np.uint32),
+        "tokens": tokens, "vocabulary": vocabulary,
+        "words": words[order], "counts": (known.column("c").to_numpy() if known.num_rows else np.empty(0, np.int64))[order],
     })
-    id_type = source.schema["id"].dataType.simpleString()
-    scored = checkpointed(numbered(source.mapInArrow(_score(model), (
-        f"id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, others array<bigint>, times array<bigint>"))))
+    answers = built.where(F.col("chunk").isNotNull()).select("chunk", "segment", "levels")
+    scored = checkpointed(texts.select("chunk", "docs").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), (
+        f"__row bigint, id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, others array<bigint>, times array<bigint>")))
     loose = scored.select("__row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("__row", F.col("o.others").alias("h"), F.col("o.times").alias("times"))
     rest = counts.where(F.col("c") < least)
     c = F.coalesce("c", F.lit(0))
