@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -173,6 +174,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert right >= 0.9 * said and right >= 0.6 * true and found.score.between(0, 1).all()
 
 
+def test_toxicity_of_a_wide_and_rare_vocabulary(spark):
+    picked = random.Random(5)
+    words = ["".join(picked.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(2600)]
+    plain, toxic = words[:2000], words[2000:]
+    data = [(i, " ".join([*picked.choices(plain, k=40), *(picked.choices(toxic, k=2) if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(4500)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string, toxic int").repartition(4)
+    found = toxicity_scores(frame.drop("toxic"), frame.drop("text")).join(frame, "doc_id").where("held_out").toPandas()
+    right, said, true = ((found.predicted == 1) & (found.toxic == 1)).sum(), (found.predicted == 1).sum(), (found.toxic == 1).sum()
+    assert right >= 0.9 * said and right >= 0.9 * true, (right, said, true)
+
+
 def test_toxicity_of_awkward_tables(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (2, 1, 1), (None, 1, 1), (6, 1, None), (99, 1, 1), (9, 0, 0)], "doc_id bigint, quality int, toxic int")
