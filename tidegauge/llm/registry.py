@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegauge.llm import oracle
 from tidegauge.llm.common import shared_path, table
 from tidegauge.llm.exact_dedup import exact_groups
+from tidegauge.llm.fill_middle import fill_in_middle
 from tidegauge.llm.language_id import document_evidence, identify, page_evidence, text_model
 from tidegauge.llm.language_model import language_model_scores
+from tidegauge.llm.line_dedup import line_dedup
 from tidegauge.llm.line_frequency import line_quality
 from tidegauge.llm.mixing import mix
 from tidegauge.llm.packing import pack
 from tidegauge.llm.simhash import simhash_components
 from tidegauge.llm.token_counts import count_tokens
 from tidegauge.llm.toxicity import toxicity_scores
+from tidegauge.llm.vector_codes import vector_codes
 from tidegauge.llm.warc import warc_round_trip
 
 
@@ -68,6 +71,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("__row", "h")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_simhash": op2_simhash,
@@ -80,10 +95,16 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL = {
     "op1_line_frequency": oracle.LINE_QUALITY,
     "op7_exact_dedup": oracle.EXACT_GROUPS,
     "op8_warc": oracle.WARC,
+    "op11_line_dedup": oracle.LINE_DEDUP,
+    "op12_vector_codes": oracle.vector_codes(),
+    "op13_fill_in_middle": oracle.FILL_IN_MIDDLE,
 }
