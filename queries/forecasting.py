@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from queries.profiling import BOX_SQL, rounded
@@ -80,9 +78,8 @@ def diagnostics(spark, sf_dir):
     return found.withColumn("min", F.round("min", 6)).withColumn("max", F.round("max", 6))
 
 
-@functools.lru_cache(maxsize=1)
 def benchmark(spark, sf_dir):
-    """All learners with their full tree and round counts on all strategies; queries over the same tables share the fits."""
+    """All learners with their full tree and round counts on all strategies."""
     return M.run_benchmark(split(spark, sf_dir), {**M.default_models(), "External Booster": None})
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -47,12 +46,10 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-# One pattern over names without white space: a whole technical name, or one that begins like an index.
-_TECHNICAL = re.compile("|".join([*(re.escape(n) + "$" for n in sorted(TECHNICAL_NAMES)), re.escape(TECHNICAL_PREFIX)]), re.IGNORECASE)
-
-
 def is_technical(name: str) -> bool:
-    return _TECHNICAL.match("".join(name.split())) is not None
+    """Names in the fixed set, and names with its prefix, in any case and with any white space."""
+    plain = "".join(name.split()).lower()
+    return plain in {n.lower() for n in TECHNICAL_NAMES} or plain.startswith(TECHNICAL_PREFIX.lower())
 
 
 def analytical_columns(df: DataFrame, keep: Iterable[str] = ()) -> list[str]:

@@ -1,17 +1,20 @@
-"""Model benchmark over target strategies with the Spark ML tree learners."""
+"""Model benchmark over target strategies: tree learners fitted beside each other on one cached training table."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tidegauge.functions.columns import analytical_columns, as_text, c, is_numeric, present
+from tidegauge.operators.cell_trees import Cells, CellTrees, collapse
 from tidegauge.operators.impute import modes
 from tidegauge.operators.quality import warning_rows
 from tidegauge.operators.temporal import (
@@ -36,17 +39,18 @@ ROUNDS, STEP, SUBSAMPLE = 150, 0.08, 0.9
 STRATEGIES = ("raw", "log1p", "log1p_outlier_norm", "winsor_iqr")
 EFFECTS_SHOWN = 12
 HASHED_WIDTH = 4_096
+#: Fits that run at the same time. Trees are fitted in many short jobs, which wait more than they compute.
+PARALLELISM = 8
 
 Factory = Callable[[], object]
 
 
 def default_models(trees: int = TREES, rounds: int = ROUNDS) -> dict[str, Factory | None]:
-    """Registry of learners. A name without a factory is reported as unavailable."""
-    named = {"featuresCol": "features", "labelCol": "label", "predictionCol": "out", "maxDepth": DEPTH, "seed": SEED}
+    """Registry of learners: any Spark ML regressor of ``features`` and ``label`` to ``out`` fits too. A name without a factory is reported as unavailable."""
     return {
-        "Decision Tree": lambda: DecisionTreeRegressor(**named),
-        "Random Forest": lambda: RandomForestRegressor(numTrees=trees, **named),
-        "Gradient Boosting": lambda: GBTRegressor(maxIter=rounds, stepSize=STEP, subsamplingRate=SUBSAMPLE, **named),
+        "Decision Tree": lambda: CellTrees("tree", DEPTH, SEED),
+        "Random Forest": lambda: CellTrees("forest", DEPTH, SEED, trees),
+        "Gradient Boosting": lambda: CellTrees("boosting", DEPTH, SEED, rounds, STEP, SUBSAMPLE),
     }
 
 
@@ -69,6 +73,10 @@ class Benchmark:
     baseline: float
     models: Mapping[str, object] = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Drop the cached scored rows."""
+        self.scored.unpersist()
+
 
 def eligible_features(split: Split, hashed: Sequence[str] = ()) -> Features:
     """Features that vary in training, numbers first. Label columns get a slot per level unless named in ``hashed``."""
@@ -88,16 +96,18 @@ def eligible_features(split: Split, hashed: Sequence[str] = ()) -> Features:
 
 
 def _filled(split: Split, features: Features) -> DataFrame:
-    """Training medians and modes fill the gaps on both sides."""
+    """Training medians and modes fill the gaps on both sides; columns without a gap need none."""
     train = split.train
     medians, common = {}, {}
-    if features.numeric:
-        found = quantiles(long_numbers(train, features.numeric), ["column"], "value", {"m": 0.5}, small=is_small(train))
+    every = [*features.numeric, *features.categorical]
+    gaps = split.rows.agg(F.lit(0).alias("z"), *[F.count_if(present(train, n).isNull()).alias(f"g{i}") for i, n in enumerate(every)]).first()
+    gappy = [n for i, n in enumerate(every) if gaps[f"g{i}"]]
+    numeric, labels = [n for n in gappy if n in features.numeric], [n for n in gappy if n in features.categorical]
+    if numeric:
+        found = quantiles(long_numbers(train, numeric), ["column"], "value", {"m": 0.5}, small=is_small(train))
         medians = {r["column"]: r["m"] for r in found.collect()}
-    gaps = train.agg(F.lit(0).alias("z"), *[F.count_if(present(train, n).isNull()).alias(f"g{i}") for i, n in enumerate(features.categorical)]).first()
-    gappy = [n for i, n in enumerate(features.categorical) if gaps[f"g{i}"]]
-    if features.categorical:
-        common = {r["column"]: r["mode"] for r in modes(train, gappy or features.categorical).collect()}
+    if labels:
+        common = {r["column"]: r["mode"] for r in modes(train, labels).collect()}
     rows = split.rows
     numbers = [F.coalesce(present(rows, n).cast("double"), F.lit(float(medians.get(n) or 0.0))).alias(f"num_{i}") for i, n in enumerate(features.numeric)]
     labels = [F.coalesce(as_text(rows, n), F.lit(common.get(n, ""))).alias(f"cat_{i}") for i, n in enumerate(features.categorical)]
@@ -141,27 +151,68 @@ def _feature_names(assembled: DataFrame, features: Features) -> list[str]:
     return pretty
 
 
-def _top_effects(model: object, names: Sequence[str]) -> list[tuple[str, float]]:
-    importances = getattr(model, "featureImportances", None)
-    if importances is None:
-        return []
-    pairs = [(names[i], float(v)) for i, v in enumerate(importances.toArray())]
+def _top_effects(model: object, names: Sequence[str], features: Features) -> list[tuple[str, float]]:
+    """Largest importances of a fitted model, under the names of columns and levels."""
+    if hasattr(model, "effects"):
+        pairs = []
+        for column, level, value in model.effects():
+            kind, position = column.split("_")
+            name = (features.numeric if kind == "num" else features.categorical)[int(position)]
+            pairs.append((name if level is None else f"{name}={level}", value))
+    else:
+        importances = getattr(model, "featureImportances", None)
+        pairs = [] if importances is None else [(names[i], float(v)) for i, v in enumerate(importances.toArray())]
     return sorted(pairs, key=lambda p: (-abs(p[1]), p[0]))[:EFFECTS_SHOWN]
 
 
+def fit_all(train: DataFrame, jobs: Sequence[tuple[str, str, Factory]], parallelism: int = PARALLELISM, cells: Cells | None = None) -> list[object]:
+    """A fitted model, or the error, for each (learner, strategy, factory). Learners on cells share ``cells``, where there are some.
+
+    Fits run in a bounded pool of threads. Each has a job group of its own and a pool of that
+    name for sessions with the fair scheduler; the group is cancelled when its fit fails, so that no
+    job of a failed fit goes on.
+    """
+    sc = train.sparkSession.sparkContext
+
+    def one(job: tuple[str, str, Factory]) -> object:
+        name, strategy, factory = job
+        group = f"fit-{uuid.uuid4().hex}"
+        sc.setJobGroup(group, f"{name} on {STRATEGY_LABELS[strategy]}", interruptOnCancel=True)
+        sc.setLocalProperty("spark.scheduler.pool", group)
+        try:
+            learner, target = factory(), f"target_{strategy}"
+            if isinstance(learner, CellTrees) and cells is not None:
+                return learner.fit(train, cells, target)
+            learner = learner.distributed() if isinstance(learner, CellTrees) else learner
+            return learner.fit(train.withColumn("label", c(target)))
+        except Exception as error:
+            sc.cancelJobGroup(group)
+            return error
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs) or 1))) as pool:
+        # Wrapped once a job, so that each thread has local properties of its own.
+        waiting = [pool.submit(inheritable_thread_target(train.sparkSession)(one), job) for job in jobs]
+        return [result.result() for result in waiting]
+
+
 def run_benchmark(
     split: Split,
     models: Mapping[str, Factory | None] | None = None,
     strategies: Sequence[str] = STRATEGIES,
     bounds: Bounds | None = None,
     hashed: Sequence[str] = (),
+    parallelism: int = PARALLELISM,
 ) -> Benchmark:
-    """Fit every learner on every target strategy, then score all runs in one pass.
+    """Fit every learner on every target strategy beside each other, then score all runs in one pass.
 
-    The training rows are prepared and cached once. A failing fit becomes a row without metrics.
+    The split's rows and the prepared rows are cached once and released at the end; ``scored`` stays cached until
+    ``release``. A failing fit becomes a row without metrics.
     """
     spark = split.rows.sparkSession
     models = default_models() if models is None else models
+    split = replace(split, rows=split.rows.persist())
     bounds = bounds or target_bounds(split.train)
     baseline = baseline_median(split)
     features = eligible_features(split, hashed)
@@ -170,32 +221,33 @@ def run_benchmark(
     filled = _filled(split, features)
     prepared = preprocessing(features).fit(filled.filter(~F.col("is_test"))).transform(filled)
     targets = [transformed(s, bounds).alias(f"target_{s}") for s in strategies]
-    prepared = prepared.select(*split.rows.columns, "features", *targets).persist()
+    inputs = [n for n in filled.columns if n not in split.rows.columns]
+    prepared = materialised(prepared.select(*split.rows.columns, *inputs, "features", *targets))
     train, names = prepared.filter(~F.col("is_test")), _feature_names(prepared, features)
-    runs, fitted, effects, failures, notes = [], {}, [], [], []
+    jobs = [(name, strategy, factory) for name, factory in models.items() if factory is not None for strategy in strategies]
+    runs, fitted, effects, failures, notes, done = [], {}, [], [], [], set()
+    cells = collapse(train, [f"target_{s}" for s in strategies])
+    for (name, strategy, _), model in zip(jobs, fit_all(train, jobs, parallelism, cells)):
+        if isinstance(model, Exception):
+            notes.append(("model_training_failed", "warning", None, f"{name} with {STRATEGY_LABELS[strategy]} failed.", (str(model) or repr(model))[:500]))
+            continue
+        done.add(name)
+        column = f"run_{len(runs)}"
+        runs.append((name, strategy, column))
+        fitted[column] = model
+        effects += [(name, strategy, f, v) for f, v in _top_effects(model, names, features)]
     for name, factory in models.items():
         if factory is None:
             failures.append((name, "unavailable", "Not available", None, f"{name} has no learner in this session"))
             notes.append((f"{name.lower().replace(' ', '_')}_unavailable", "info", None, f"{name} is not available.", "Register a factory."))
-            continue
-        done = 0
-        for strategy in strategies:
-            try:
-                model = factory().fit(train.withColumn("label", F.col(f"target_{strategy}")))
-            except Exception as error:
-                notes.append(("model_training_failed", "warning", None, f"{name} with {STRATEGY_LABELS[strategy]} failed.", str(error)[:500]))
-                continue
-            done += 1
-            column = f"run_{len(runs)}"
-            runs.append((name, strategy, column))
-            fitted[column] = model
-            effects += [(name, strategy, f, v) for f, v in _top_effects(model, names)]
-        if not done:
+        elif name not in done:
             failures.append((name, "failed", "No result", None, "no strategy finished training"))
     scored = prepared
     for name, strategy, column in runs:
         scored = fitted[column].transform(scored).withColumn(column, restored(strategy, F.col("out"))).drop("out")
-    scored = scored.select(*split.rows.columns, *[column for _, _, column in runs]).persist()
+    scored = materialised(scored.select(*split.rows.columns, *[column for _, _, column in runs]))
+    for cached in (prepared, split.rows, *([cells.table] if cells else ())):
+        cached.unpersist()
     return Benchmark(
         _benchmark_rows(scored, runs, failures, baseline),
         scored, tuple(runs),

@@ -129,9 +129,8 @@ def regression_metrics(
     r2 = F.when(F.col("n") <= 1, None).when(flat, F.when(F.col("sse") == 0, 1.0).otherwise(0.0)).otherwise(
         1.0 - F.try_divide(F.col("sse"), spread)
     )
-    absolute = scored.select(*keys, F.abs(error).alias("e"), (w if weight else F.lit(1)).cast("bigint").alias("w"))
-    collapsed = materialised(absolute.groupBy(*keys, "e").agg(F.sum("w").alias("w")))
-    medians = quantiles(collapsed, by, "e", {"medae": 0.5}, weight="w")
+    counted = [c(weight).cast("bigint").alias("w")] if weight else []
+    medians = quantiles(scored.select(*keys, F.abs(error).alias("e"), *counted), by, "e", {"medae": 0.5}, weight="w" if weight else None)
     return sums.join(medians, list(by)).select(
         *keys, F.col("n").cast("bigint").alias("n"), (F.col("abs") / F.col("n")).alias("mae"),
         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), r2.alias("r2"), "medae",
