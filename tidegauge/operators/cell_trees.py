@@ -24,6 +24,7 @@ BINS = 32
 #: Most cells that one task holds: some 20 MB.
 MOST_CELLS = 200_000
 FOREST_MB = 1_024
+HAIR = 1e-9
 TREE_SCHEMA = "tree int, split_feature array<int>, split_code array<int>, split_gain array<double>, leaf array<double>"
 
 
@@ -61,9 +62,10 @@ def _splits(codes: np.ndarray, levels: list[int], ordered: np.ndarray, node: np.
         wr, gr = whole_w - wl, whole_g - gl
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where((wl >= 1) & (wr >= 1), gl * gl / wl + gr * gr / wr - whole_g * whole_g / whole_w, 0.0)
-        top = gain.argmax(axis=1)
+        # Gains within a hair are equal, so that the order of summation decides nothing.
+        top = (gain >= gain.max(axis=1, keepdims=True) * (1 - HAIR)).argmax(axis=1)
         found = gain[np.arange(nodes), top]
-        better = found > best * (1 + 1e-12)
+        better = found > best * (1 + HAIR)
         feature[better], code[better], best[better] = f, top[better], found[better]
     return feature, code, np.where(feature >= 0, best, 0.0)
 
