@@ -91,8 +91,8 @@ def regression(source, part):
 
 def flow_model(part):
     def run(spark, sf_dir):
-        frame = flow(spark, sf_dir).select("row_id", "Size", "Type", "week", "value")
-        return getattr(N.multiple_regression(frame, "value", FLOW_ROLES), part)
+        found = getattr(N.multiple_regression(flow(spark, sf_dir), "value", FLOW_ROLES), part)
+        return rounded(found.withColumns({n: F.round(n, 2) for n in ("sum_sq", "mean_sq")}), digits=5) if part == "terms" else found
 
     return run
 
@@ -105,6 +105,26 @@ def wide_regression(spark, sf_dir):
     return own.crossJoin(found.summary.select(F.round("r_squared", 6).alias("r_squared"), "n_obs"))
 
 
+def two_wide_columns(spark, sf_dir):
+    """Price over quantity, part and order: two label columns of thousands of levels each."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_extendedprice", "l_quantity", F.col("l_partkey").cast("string").alias("part"), F.col("l_orderkey").cast("string").alias("order"))
+    found = N.multiple_regression(rows, "l_extendedprice")
+    own = found.coefficients.filter("term = 'l_quantity'").select(
+        "estimate", "std_error", F.lit("l_quantity").alias("feature"), F.lit(True).alias("one"))
+    terms = found.terms.select("feature", "df", F.round("f_value", 4).alias("f_value")).join(own.drop("one"), "feature", "left")
+    whole = found.summary.select(F.round("r_squared", 6).alias("r_squared"), "n_obs")
+    return rounded(terms, digits=4).crossJoin(whole)
+
+
+def lone_wide_column(spark, sf_dir):
+    """Price over order alone: group means."""
+    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", F.col("l_orderkey").cast("string").alias("order"))
+    found = N.multiple_regression(rows, "l_extendedprice")
+    return found.coefficients.select(
+        "term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+
+
 def overview(part):
     def run(spark, sf_dir):
         return rounded(getattr(target_overview(flow(spark, sf_dir), "value", FLOW_ROLES), part), digits=6)
@@ -137,6 +157,8 @@ QUERIES = {
     "regression_label_coefficients": regression(number_and_label, "coefficients"),
     "regression_label_terms": regression(number_and_label, "terms"),
     "regression_wide_parts": wide_regression,
+    "regression_two_wide": two_wide_columns,
+    "regression_lone_wide": lone_wide_column,
     "regression_flow_coefficients": flow_model("coefficients"),
     "regression_flow_terms": flow_model("terms"),
     "regression_flow_conclusions": flow_model("conclusions"),
@@ -273,6 +295,59 @@ j AS (SELECT feature, x, y, count(*) AS n FROM l GROUP BY ALL),
 p AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny FROM j)
 SELECT feature, round(greatest(sum(n / t * ln(n * t / (nx * ny))), 0), 6) AS mi FROM p GROUP BY feature"""
 
+def two_wide_sql(sweeps=40):
+    """Both label columns are taken out by turns until nothing changes; the other tests take out one alone."""
+    def out(name, by, source):
+        return f"""{name} AS MATERIALIZED (SELECT a, b, x - avg(x) OVER (PARTITION BY {by}) AS x, y - avg(y) OVER (PARTITION BY {by}) AS y FROM {source})"""
+
+    steps = ["s0 AS MATERIALIZED (SELECT l_partkey AS a, l_orderkey AS b, l_quantity - avg(l_quantity) OVER () AS x, l_extendedprice - avg(l_extendedprice) OVER () AS y FROM lineitem)"]
+    steps += [out(f"s{k + 1}", "ab"[k % 2], f"s{k}") for k in range(2 * sweeps)]
+    steps.append(out("only_b", "b", "s0"))
+    sums = "sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x) AS rss"
+    steps += [f"f AS (SELECT {sums} FROM s{2 * sweeps})", f"p AS (SELECT {sums} FROM s1)", f"o AS (SELECT {sums} FROM only_b)",
+              "n AS (SELECT count(*) AS n, count(DISTINCT a) AS la, count(DISTINCT b) AS lb, sum(y * y) AS tot FROM s0)",
+              "v AS (SELECT f.rss / (n - la - lb) AS s2 FROM f, n)"]
+    part = "round(1 - f.rss / tot, 6) AS r_squared, n AS n_obs"
+    return "WITH " + ", ".join(steps) + f"""
+      SELECT 'l_quantity' AS feature, 1.0 AS df, round(sxy * sxy / sxx / s2, 4) AS f_value, round(sxy / sxx, 4) AS estimate, round(sqrt(s2 / sxx), 4) AS std_error, {part} FROM f, n, v
+      UNION ALL SELECT 'part', la - 1, round((o.rss - f.rss) / (la - 1) / s2, 4), NULL, NULL, {part} FROM f, o, n, v
+      UNION ALL SELECT 'order', lb - 1, round((p.rss - f.rss) / (lb - 1) / s2, 4), NULL, NULL, {part} FROM f, p, n, v"""
+
+
+#: Model columns of the flow regression by feature, the first label of each left out.
+FLOW_DESIGN = {
+    "week": ["CAST(week AS DOUBLE)"],
+    "Size": [f"(Size = '{v}')::INT::DOUBLE" for v in (1, 2, 3)],
+    "Type": [f"(Type = '{v}')::INT::DOUBLE" for v in ("error", "purchase", "signup", "view")],
+}
+
+
+def flow_terms_sql():
+    """Type-II sums by successive orthogonal columns: a term's columns come last, beside Owner taken out as group means."""
+    steps, sums = [FLOW_SQL.strip()], []
+    columns = [(n, e) for n, every in FLOW_DESIGN.items() for e in every]
+
+    def chain(tag, last, by):
+        order = [c for c in columns if c[0] != last] + [c for c in columns if c[0] == last]
+        steps.append(f"{tag}0 AS MATERIALIZED (SELECT value - avg(value) OVER ({by}) AS y, "
+                     + ", ".join(f"{e} - avg({e}) OVER ({by}) AS x{j}" for j, (_, e) in enumerate(order)) + " FROM flow)")
+        for j in range(len(order)):
+            rest = ["y", *[f"x{k}" for k in range(j + 1, len(order))]]
+            steps.append(f"{tag}{j + 1} AS MATERIALIZED (SELECT " + ", ".join(
+                f"{v} - x{j} * (SELECT sum(x{j} * {v}) / sum(x{j} * x{j}) FROM {tag}{j}) AS {v}" for v in rest) + f" FROM {tag}{j})")
+        return f"(SELECT sum(y * y) FROM {tag}{len(order) - len(FLOW_DESIGN.get(last, []))})", f"(SELECT sum(y * y) FROM {tag}{len(order)})"
+
+    for n, every in FLOW_DESIGN.items():
+        before, whole = chain(f"g_{n}_", n, "PARTITION BY Owner")
+        sums.append(f"SELECT '{n}' AS feature, '{'numeric' if n == 'week' else 'categorical'}' AS feature_type, {len(every)}.0 AS df, {before} - {whole} AS ss, {whole} AS rss")
+    _, alone = chain("h_", None, "")
+    sums.append(f"SELECT 'Owner', 'categorical', (SELECT count(DISTINCT Owner) FROM flow) - 1.0, {alone} - {whole}, {whole}")
+    return f"""WITH {", ".join(steps)}, t AS ({" UNION ALL ".join(sums)}),
+      d AS (SELECT count(*) - count(DISTINCT Owner) - {len(columns)} AS dof FROM flow), f AS (SELECT *, ss / df / (rss / dof) AS f FROM t, d)
+      SELECT feature, feature_type, df, round(ss, 2) AS sum_sq, round(ss / df, 2) AS mean_sq, round(f, 5) AS f_value, round({f_tail_sql("f", "df", "dof")}, 5) AS p_value,
+        round(ss / (ss + rss), 5) AS partial_eta_squared FROM f"""
+
+
 SQL = {
     "pearson_lineitem": " UNION ALL ".join(
         f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, count(*) AS n, round(corr({x}, {y}), 6) AS pearson FROM lineitem" for x, y in PAIRS),
@@ -308,6 +383,11 @@ SQL = {
       s AS (SELECT sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, count(*) AS n, count(DISTINCT l_partkey) AS k, var_pop(p) * count(*) AS tot FROM w)
       SELECT 'l_quantity' AS term, round(sxy / sxx, 4) AS estimate, round(sqrt((syy - sxy * sxy / sxx) / (n - k - 1) / sxx), 4) AS std_error,
         round(1 - (syy - sxy * sxy / sxx) / tot, 6) AS r_squared, n AS n_obs FROM s""",
+    "regression_two_wide": two_wide_sql(),
+    "regression_lone_wide": """WITH g AS (SELECT CAST(l_orderkey AS VARCHAR) AS k, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) * count(*) AS ss FROM lineitem GROUP BY ALL),
+      w AS (SELECT sum(ss) / (sum(n) - count(*)) AS s2, min(k) AS low FROM g), b AS (SELECT g.n, g.m FROM g, w WHERE k = low)
+      SELECT 'order[' || k || ']' AS term, round(g.m - b.m, 6) AS estimate, round(sqrt(s2 * (1.0 / g.n + 1.0 / b.n)), 4) AS std_error FROM g, w, b WHERE k <> low""",
+    "regression_flow_terms": flow_terms_sql(),
     "regression_label_summary": _LABEL["summary"],
     "regression_label_terms": _LABEL["terms"],
     "regression_label_coefficients": _LABEL["coefficients"],

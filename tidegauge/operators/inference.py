@@ -23,17 +23,20 @@ from tidegauge.functions.columns import (
     present,
 )
 from tidegauge.functions.tails import chi2_p, f_p, f_tail, t_p, t_quantile, t_two_sided
+from tidegauge.operators.absorption import NotConverged, absorb, without_each
 from tidegauge.operators.association import correlation
 from tidegauge.operators.profile import box_stats
 from tidegauge.operators.quality import as_warning, empty_warnings, quality_warnings, warning_rows
 from tidegauge.plans.counts import long_numbers
 from tidegauge.plans.ordered import average_rank, ordered_counts, quantiles
-from tidegauge.plans.sizing import attach, is_small, materialised, rows_of
+from tidegauge.plans.sizing import attach, checkpointed, is_small, materialised, rows_of
 
 # Fixed values of the reporting rules.
 SMALL_GROUP, OUTLIER_SHARE, SIGNIFICANT = 5, 0.05, 0.05
 BOX_FEATURES, TERMS_NAMED = 3, 3
 MAX_DESIGN = 1_000
+#: Levels of a label column that stays in the design beside several wide ones.
+NARROW = 32
 INFINITE = float("inf")
 EXACT_FIT = 1e-14  # share of variance left below which a fit counts as exact
 
@@ -428,27 +431,40 @@ def _term_rows(terms_of, beta, inverse, sigma2: float, dof: int, residual: float
     return terms
 
 
-def _widest(data: DataFrame, features: Sequence[str]) -> str | None:
-    """Label column with the most levels."""
+def _by_width(data: DataFrame, features: Sequence[str]) -> list[tuple[str, int]]:
+    """Label columns and their levels, widest first."""
     labels = [n for n in features if not is_numeric(data, n)]
     if not labels:
-        return None
+        return []
     parts = [p for n in labels for p in (F.lit(n), F.coalesce(as_text(data, n), F.lit(MISSING_LABEL)))]
     distinct = data.select(F.stack(F.lit(len(labels)), *parts).alias("feature", "level")).distinct()
-    return distinct.groupBy("feature").agg(F.count("*").alias("d")).orderBy(F.desc("d"), "feature").first()["feature"]
+    return [(r["feature"], r["d"]) for r in distinct.groupBy("feature").agg(F.count("*").alias("d")).orderBy(F.desc("d"), "feature").collect()]
 
 
-def _level_sums(data: DataFrame, target: str, wide: str, design: Design, medians: dict[str, float]) -> DataFrame:
-    """Per level of the wide column: rows, sum of the target, and sums of all other model columns, centred as in ``design``."""
-    y = c(target) - F.lit(design.y_shift)
-    sums = []
+def _design_medians(data: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
+    medians = {n: 0.0 for n in numeric}
+    if numeric:
+        found = quantiles(long_numbers(data, numeric), ["column"], "value", {"m": 0.5}, small=is_small(data))
+        medians |= {r["column"]: float(r["m"] or 0.0) for r in found.collect()}
+    return medians
+
+
+def _design_columns(data: DataFrame, design: Design, medians: dict[str, float]) -> list[Column]:
+    """All model columns but the constant, centred as in ``design``."""
+    found = []
     for feature, (kind, columns) in design.terms.items():
         if kind == "numeric":
-            mean = float(design.shift[columns[0] - 1])
-            sums.append(F.sum(F.coalesce(present(data, feature).cast("double"), F.lit(medians[feature])) - F.lit(mean)))
+            found.append(F.coalesce(present(data, feature).cast("double"), F.lit(medians[feature])) - F.lit(float(design.shift[columns[0] - 1])))
             continue
         label = F.coalesce(as_text(data, feature), F.lit(MISSING_LABEL))
-        sums += [F.sum((label == design.names[i][len(feature) + 1 : -1]).cast("double")) for i in columns]
+        found += [(label == design.names[i][len(feature) + 1 : -1]).cast("double") for i in columns]
+    return found
+
+
+def _level_sums(data: DataFrame, target: str, wide: str, design: Design, medians: dict[str, float]) -> DataFrame:
+    """Per level of the wide column: rows, sum of the target, and sums of all other model columns, centred as in ``design``."""
+    y = c(target) - F.lit(design.y_shift)
+    sums = [F.sum(v) for v in _design_columns(data, design, medians)]
     level = F.coalesce(as_text(data, wide), F.lit(MISSING_LABEL)).alias("level")
     others = F.array(*sums) if sums else F.array().cast("array<double>")
     return data.groupBy(level).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("sy"), others.alias("v"))
@@ -485,36 +501,25 @@ def _level_effects(beta: np.ndarray, inverse: np.ndarray, sigma2: float, first:
     return run
 
 
-def _fit_beside(data: DataFrame, target: str, used: Sequence[str], max_columns: int) -> tuple[tuple, DataFrame, list[tuple]]:
+def _fit_beside(data: DataFrame, target: str, used: Sequence[str], wide: str, max_columns: int) -> tuple[tuple, DataFrame, list[tuple]]:
     """The same least squares with the widest label column eliminated.
 
     Its block of the normal equations is diagonal, so sums per level give the equations of all
-    other columns, which are solved here, and the level coefficients stay a distributed table. Where columns are
+    other columns, which are solved here, and the level coefficients stay a distributed table. Alone, its
+    coefficients are differences of group means. Where columns are
     collinear the coefficients are one of the solutions; the fit is the same.
     """
-    wide = _widest(data, used)
     others = [n for n in used if n != wide]
-    if wide is None or not others:
-        raise DesignTooWide("no column is left beside the widest one")
     design = build_design(data, target, others, max_columns)
-    numeric = [n for n in others if is_numeric(data, n)]
-    medians = {n: 0.0 for n in numeric}
-    if numeric:
-        found = quantiles(long_numbers(data, numeric), ["column"], "value", {"m": 0.5}, small=is_small(data))
-        medians |= {r["column"]: float(r["m"] or 0.0) for r in found.collect()}
+    medians = _design_medians(data, [n for n in others if is_numeric(data, n)])
     sums = materialised(_level_sums(data, target, wide, design, medians))
     levels, size = sums.count(), len(design.names) - 1
     absorbed = np.zeros((size + 1, size + 1))
     for row in sums.coalesce(16).mapInArrow(_outer_products, "sums binary, levels bigint").collect():
         absorbed += np.frombuffer(row["sums"]).reshape(size + 1, size + 1)
-    schur, moment = design.gram[1:, 1:] - absorbed[:-1, :-1], design.moment[1:] - absorbed[:-1, -1]
-    scale = np.sqrt(np.maximum(np.diag(design.gram)[1:], 1e-300))
-    unit = schur / np.outer(scale, scale)
-    inverse = np.linalg.pinv(unit, rcond=1e-10, hermitian=True) / np.outer(scale, scale)
-    rank = levels + int(np.linalg.matrix_rank(unit, tol=1e-10, hermitian=True))
-    beta = inverse @ moment
+    beta, inverse, own_rank, residual = _beside(design, absorbed)
+    rank = levels + own_rank
     total = design.y_square - design.moment[0] ** 2 / design.n
-    residual = max(design.y_square - absorbed[-1, -1] - float(moment @ beta), 0.0)
     dof = design.n - rank
     sigma2 = residual / dof if dof > 0 else math.nan
     summary = _summary(design.n, len(used), total, residual, rank, dof)
@@ -534,6 +539,75 @@ def _fit_beside(data: DataFrame, target: str, used: Sequence[str], max_columns:
     return summary, own.unionByName(listed).orderBy(F.asc_nulls_last("p_value"), "term"), _p_order(terms, 6)
 
 
+def _beside(design: Design, absorbed: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Coefficients, unscaled covariance, rank and residual of a design beside what other columns absorb of it and, last, of the target."""
+    if len(design.names) == 1:
+        return np.zeros(0), np.zeros((0, 0)), 0, max(design.y_square - absorbed[-1, -1], 0.0)
+    schur, moment = design.gram[1:, 1:] - absorbed[:-1, :-1], design.moment[1:] - absorbed[:-1, -1]
+    scale = np.sqrt(np.maximum(np.diag(design.gram)[1:], 1e-300))
+    unit = schur / np.outer(scale, scale)
+    inverse = np.linalg.pinv(unit, rcond=1e-10, hermitian=True) / np.outer(scale, scale)
+    beta = inverse @ moment
+    residual = max(design.y_square - absorbed[-1, -1] - float(moment @ beta), 0.0)
+    return beta, inverse, int(np.linalg.matrix_rank(unit, tol=1e-10, hermitian=True)), residual
+
+
+def _fit_absorbed(data: DataFrame, target: str, used: Sequence[str], wide: Sequence[str], max_columns: int) -> tuple[tuple, DataFrame, list[tuple]]:
+    """The same least squares beside several wide label columns.
+
+    What they explain of every other model column and of the target is found over sums per level (``absorption``), so only the other columns'
+    equations are solved here. Effects of wide levels are given against the first level; their errors aren't computed (null).
+    """
+    others = [n for n in used if n not in wide]
+    design = build_design(data, target, others, max_columns)
+    medians = _design_medians(data, [n for n in others if is_numeric(data, n)])
+    vectors = [*_design_columns(data, design, medians), c(target) - F.lit(design.y_shift)]
+    at = {w: f"w{i}" for i, w in enumerate(wide)}
+    rows = data.select(*[F.coalesce(as_text(data, w), F.lit(MISSING_LABEL)).alias(k) for w, k in at.items()], *[v.alias(f"c{i}") for i, v in enumerate(vectors)])
+    columns = [F.col(f"c{i}") for i in range(len(vectors))]
+    whole = absorb(rows, list(at.values()), columns)
+    beta, inverse, own_rank, residual = _beside(design, whole.products)
+    rank = whole.rank + own_rank
+    total, dof = design.y_square - design.moment[0] ** 2 / design.n, design.n - rank
+    sigma2 = residual / dof if dof > 0 else math.nan
+    terms = _term_rows({k: (kind, tuple(i - 1 for i in i_at)) for k, (kind, i_at) in design.terms.items()}, beta, inverse, sigma2, dof, residual)
+    names = {k: w for w, k in at.items()}
+    for key, rest in without_each(list(at.values())):
+        less = absorb(rows, rest, columns)
+        _, _, less_rank, more = _beside(design, less.products)
+        df, added = float(rank - less.rank - less_rank), max(more - residual, 0.0)
+        f_term = added / df / sigma2 if df > 0 and sigma2 > 0 else None
+        terms.append((names[key], "categorical", df, _number(added), _number(added / df) if df else None, _number(f_term), f_tail(f_term, df, dof),
+                      _number(added / (added + residual)) if added + residual > 0 else None))
+    effect = F.get("x", len(beta)) - sum((F.lit(float(v)) * F.get("x", i) for i, v in enumerate(beta)), F.lit(0.0))
+    levels = checkpointed(whole.effects.select("axis", "level", effect.alias("effect")))
+    first = levels.groupBy("axis").agg(F.min_by("effect", "level").alias("base"), F.min("level").alias("base_level"))
+    empty = F.lit(None).cast("double")
+    listed = levels.join(F.broadcast(first), "axis").filter("level <> base_level").select(
+        F.concat(F.get(F.array(*[F.lit(w) for w in wide]), F.col("axis")), F.lit("["), "level", F.lit("]")).alias("term"),
+        (F.col("effect") - F.col("base")).alias("estimate"), *[empty.alias(n) for n in ("std_error", "t_value", "p_value", "ci_low", "ci_high")])
+    own = data.sparkSession.createDataFrame(_coefficients(design.names[1:], beta, inverse, sigma2, dof), COEFFICIENT_SCHEMA)
+    return (_summary(design.n, len(used), total, residual, rank, dof),
+            own.unionByName(listed).orderBy(F.asc_nulls_last("p_value"), "term"), _p_order(terms, 6))
+
+
+def fit_wide(data: DataFrame, target: str, used: Sequence[str], max_columns: int) -> tuple[tuple, DataFrame, list[tuple]]:
+    """Least squares with more levels than ``max_columns``: the widest label columns are absorbed until the others fit."""
+    widths, room, wide = _by_width(data, used), max_columns - 1, []
+    narrow = sum(d - 1 for _, d in widths) + len(used) - len(widths)
+    for name, d in widths:
+        if narrow > room or not wide:
+            wide.append(name)
+            narrow -= d - 1
+    if not wide:
+        raise DesignTooWide(f"more than {max_columns} numeric columns")
+    if len(wide) == 1:
+        return _fit_beside(data, target, used, wide[0], max_columns)
+    # Vectors of all other columns go through every step, so wide company takes all but the narrowest with it.
+    wide += [name for name, d in widths if name not in wide and d > NARROW]
+    return _fit_absorbed(data, target, used, wide, max_columns)
+
+
 def _explained(design: Design) -> float:
     """Explained sum of squares, the same for every solution of a deficient system."""
     n = design.gram[0, 0]
@@ -582,8 +656,8 @@ def multiple_regression(
             summary, coefficients, terms = fit(build_design(data, target, used, max_columns))
             coefficients = df.sparkSession.createDataFrame(coefficients, COEFFICIENT_SCHEMA)
         except DesignTooWide:
-            summary, coefficients, terms = _fit_beside(data, target, used, max_columns)
-    except (DesignTooWide, np.linalg.LinAlgError) as error:
+            summary, coefficients, terms = fit_wide(data, target, used, max_columns)
+    except (DesignTooWide, NotConverged, np.linalg.LinAlgError) as error:
         notes.append(("multiple_regression_fit_failed", "error", None, f"The model was not fitted: {error}.", "Group wide or collinear features."))
         return _unbuilt(df, warnings.unionByName(warning_rows(df, notes)))
     if summary[1] < max(20, 3 * summary[2]):
