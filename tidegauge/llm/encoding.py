@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -49,27 +51,27 @@ class PieceEncoder:
         self.pieces, self.memory, self.young, self.old = pieces, memory, {}, {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.dtype.char, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        met = {p: self.old[p] for p in new if p in self.old}
-        fresh = [p for p in new if p not in met]
+        old, young = self.old, self.young
+        for p in new.intersection(old):
+            young[p] = old[p]
+        fresh = list(new.difference(old))
         found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        met.update((p, self._bytes(e.ids)) for p, e in zip(fresh, found, strict=True))
-        self.young.update(met)
+        young.update(zip(fresh, [self._bytes(e.ids) for e in found], strict=True))
 
     def encoded(self, text: str) -> bytes:
         """Ids of a text as packed integers of ``dtype``."""
         if any(s in text for s in self.special):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = self.pieces.findall(text)
-        new = {p for p in parts if p not in self.young}
+        new = set(parts).difference(self.young)
         if new:
             self._learn(new)
         out = b"".join(map(self.young.__getitem__, parts))
-        for p in new:
-            if len(p) > LONG_PIECE:
-                del self.young[p]
+        for p in [p for p in new if len(p) > LONG_PIECE]:
+            del self.young[p]
         if len(self.young) > self.memory:
             self.young, self.old = {}, self.young
         return out
