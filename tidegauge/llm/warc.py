@@ -19,6 +19,8 @@ from tidegauge.llm.common import broadcast_if_small, checkpointed, numbered, sta
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 32 * 1024 * 1024
+#: Most tasks that read ranges; beyond it a task reads some ranges one after another.
+MOST_READERS = 100_000
 WINDOW, STEP = 1 << 20, 1 << 15
 DATE = "2024-01-01T00:00:00Z"
 
@@ -199,7 +201,9 @@ def read_warc(files: DataFrame, with_payload: bool = False, range_bytes: int = R
              "refers_to": pa.string(), "payload": pa.binary()}
     columns = [c for c in types if c != "payload" or with_payload]
     names = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}
-    return ranges.repartition("path", "start").mapInArrow(_read(columns, types), ", ".join(f"{c} {names[types[c]]}" for c in columns))
+    # With a number, so that these few rows aren't put back into one task: a task per range, up to ``MOST_READERS``.
+    readers = min(max(ranges.count(), 1), MOST_READERS)
+    return ranges.repartition(readers, "path", "start").mapInArrow(_read(columns, types), ", ".join(f"{c} {names[types[c]]}" for c in columns))
 
 
 def warc_round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
