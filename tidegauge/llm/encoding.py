@@ -55,9 +55,13 @@ class PieceEncoder:
 
     def _learn(self, new: set[str]) -> None:
         old, young = self.old, self.young
-        for p in new.intersection(old):
-            young[p] = old[p]
-        fresh = list(new.difference(old))
+        # Over the few new pieces: a set's intersection with a dict would walk the whole dict.
+        fresh = []
+        for p in new:
+            if p in old:
+                young[p] = old[p]
+            else:
+                fresh.append(p)
         found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
         young.update(zip(fresh, [self._bytes(e.ids) for e in found], strict=True))
 
