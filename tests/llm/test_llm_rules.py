@@ -231,3 +231,11 @@ def test_warc_payloads_small_pages_and_false_magic(spark, tmp_path):
     with open(tmp_path / "noise", "rb") as file:
         found = [warc.parsed(data) for _, data in warc.members(warc._Window(file, len(noise)), 0, len(noise))]
     assert [(f["id"], f["payload"]) for f in found] == [("8", b"body")]
+
+
+def test_each_range_is_read_by_a_task_of_its_own(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, f"page {i} " * 30) for i in range(60)], "page_id bigint, url string, html string").repartition(2)
+    files = warc.write_warc(pages, f"file:{tmp_path}/many")
+    found = warc.read_warc(files, range_bytes=500)
+    ranges = files.selectExpr("sum(ceil(size / 500)) AS n").first()["n"]
+    assert ranges > 8 and found.rdd.getNumPartitions() == ranges and found.count() == 60
