@@ -62,6 +62,21 @@ def test_lines_of_many_documents_go_and_depleted_documents_are_rejected(spark):
     assert got[300].n_removed_words == 0 and all(got[200 + i].n_removed_words == 0 for i in range(30))
 
 
+def test_limit_of_a_hot_host_does_not_rise_with_it(spark):
+    """One host of 60,000 distinct texts: a line in 500 goes, one in exactly 100 stays; one in 20 goes from a small host."""
+    i = F.col("id")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("own words of document "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: F.concat(F.lit("w"), i, F.lit("x"), k)), " ")),
+        F.when(i % 120 == 0, "all rights of this page are reserved"), F.when(i % 600 == 1, "a rarer line of the same host"))
+    small = spark.range(900_000, 900_300).select(
+        i.alias("doc_id"), F.concat(F.lit("tiny "), i, F.when(i % 15 == 0, "\nfooter of a small host").otherwise("")).alias("text"), F.lit("small").alias("source"))
+    docs = spark.range(60_000).select(i.alias("doc_id"), text.alias("text"), F.lit("hot").alias("source")).unionByName(small)
+    got = line_quality(docs).where("n_removed_words > 0").selectExpr("doc_id", "n_removed_words AS n").collect()
+    hot, few = [r for r in got if r.doc_id < 900_000], [r for r in got if r.doc_id >= 900_000]
+    assert len(hot) == 499 and all(r.doc_id % 120 == 0 and r.n == 7 for r in hot)
+    assert len(few) == 19 and all(r.doc_id % 15 == 0 and r.n == 5 for r in few)
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}

@@ -75,8 +75,11 @@ def text_measures(text: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = 10,
-                   host_share: float = 0.01) -> DataFrame:
-    """(host, line, first_text): lines in over ``min_docs`` distinct documents and ``host_share`` of a host's documents.
+                   host_share: float = 0.01, max_docs: int = 100) -> DataFrame:
+    """(host, line, first_text): lines in too many distinct documents of a host.
+
+    The limit is ``host_share`` of the host's distinct documents, but at least ``min_docs`` and at most
+    ``max_docs``, so that the bar doesn't rise with a hot host. A line goes when it is in more documents than that.
 
     Documents with the same text count once, so copies alone make no line frequent. Rows are
     distinct by (host, line, text) before they meet by line, so one very common line is summed
@@ -85,31 +88,33 @@ def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "t
     text = text_of(text_col)
     base = docs.select(F.col(host_col).alias("host"), _text_hash(text).alias("text_hash"), _line_hashes(text).alias("lines"))
     lines = base.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x.line))).alias("line")).distinct()
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("text_hash").alias("first_text")).where(F.col("docs") > min_docs)
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("text_hash").alias("first_text")).where(F.col("docs") > min(min_docs, max_docs))
     hosts = (
         docs.select(F.col(host_col).alias("host"), _text_hash(text).alias("text_hash")).distinct()
         .groupBy("host").agg(F.count("*").alias("host_docs"))
     )
-    return counted.join(hosts, counted.host.eqNullSafe(hosts.host)).where(F.col("docs") > host_share * F.col("host_docs")).select(
+    limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), host_share * F.col("host_docs")))
+    return counted.join(hosts, counted.host.eqNullSafe(hosts.host)).where(F.col("docs") > limit).select(
         counted.host, "line", "first_text"
     )
 
 
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                 min_docs: int = 10, host_share: float = 0.01, min_left: float = 0.3,
+                 min_docs: int = 10, host_share: float = 0.01, max_docs: int = 100, min_left: float = 0.3,
                  with_text: bool = False) -> DataFrame:
     """One row per input row with base measures, removed words and the verdict ``kept``.
 
-    Lines found in more than ``min_docs`` distinct documents and more than ``host_share`` of the
-    distinct documents of their host are removed, except from the document that holds them first
+    Lines found in more distinct documents of their host than its limit (``host_share`` of its distinct documents, at
+    least ``min_docs`` and at most ``max_docs``) are removed, except from the document that holds them first
     (smallest text hash). A document is rejected if a base rule fails (under 20 words, or over 30 % of
     its words in repeated windows), or as depleted if under ``min_left`` of its words are left.
     ``with_text`` adds ``clean_text``, the text without removed lines.
 
     A null text has no words and fails the base rule. A null host is a host of its own. Repeated
-    rows each give a row. An empty table gives an empty result. Other columns are not read.
+    rows each give a row. An empty table gives an empty result. Other columns are not read. A very long text
+    is one row: its words and line hashes are arrays of one task's memory, about three times its size.
     """
-    frequent = checkpointed(frequent_lines(docs, host_col, text_col, min_docs, host_share))
+    frequent = checkpointed(frequent_lines(docs, host_col, text_col, min_docs, host_share, max_docs))
     text = text_of(text_col)
     rows = numbered(docs.select(
         F.col(id_col).alias("id"), F.col(host_col).alias("host"), _text_hash(text).alias("text_hash"),

@@ -17,7 +17,8 @@ tidy AS (SELECT doc_id, source, substr(md5(t), 1, 16) AS th,
 lines AS (SELECT doc_id, source, th, unnest(ls) AS line FROM tidy),
 freq AS (SELECT source, line, count(DISTINCT th) AS n, min(th) AS first FROM lines GROUP BY source, line HAVING count(DISTINCT th) > 10),
 hosts AS (SELECT source, count(DISTINCT th) AS n FROM tidy GROUP BY source),
-often AS (SELECT f.source, f.line, f.first FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 0.01 * h.n),
+often AS (SELECT f.source, f.line, f.first FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source 
+  WHERE f.n > least(100, greatest(10, 0.01 * h.n))),
 removed AS (SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS n FROM lines l JOIN often o
   ON l.source IS NOT DISTINCT FROM o.source AND l.line = o.line AND l.th <> o.first GROUP BY l.doc_id),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
