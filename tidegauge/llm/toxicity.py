@@ -165,7 +165,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     2. The ``FEATURES`` buckets that tell the labels apart best (likelihood ratio of presence) get the
        log ratio of their smoothed frequencies and a weight each. All other counted buckets give sums of their naive
        Bayes ratios by group (documents that hold them, size of the ratio), with a weight per group.
-    3. Weights are fitted on at most ``fit_rows`` labelled rows, those with the smallest hash of the id, and all texts are scored in one pass.
+    3. Weights are fitted on at most ``fit_rows`` labelled rows, those with the smallest hash of id and text, equal ones once,
+       and all texts are scored in one pass.
 
     Labels that are null or of ids without a document are not used; where an id has several labels the
     largest counts. With rows of one label only (or none) every score is the share of toxic rows
@@ -178,7 +179,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .groupBy(F.col(id_col).alias("of_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     )
     train = source.where(~F.col("held_out")).join(broadcast_if_small(marks, 32), F.col("id") == F.col("of_id")).select("id", "text", "label")
-    ids = checkpointed(source.where(~F.col("held_out")).select("id").join(marks, F.col("id") == F.col("of_id")).select("label", F.xxhash64("id").alias("h")))
+    ids = checkpointed(source.where(~F.col("held_out")).select("id", F.xxhash64("id", "text").alias("h")).join(marks, F.col("id") == F.col("of_id")).select("label", "h"))
     rows = dict(ids.groupBy("label").count().collect())
     clean, toxic = rows.get(0, 0), rows.get(1, 0)
     if not clean or not toxic:
@@ -201,7 +202,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             both[label, every.column("bucket").to_numpy()] = every.column(name).to_numpy()
         model = docs.sparkSession.sparkContext.broadcast((both, np.array([clean, toxic]), buckets))
         border = ids.select("h").distinct().orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-        chosen = train.where(F.xxhash64("id") <= border).select("label", "text").mapInArrow(_features(model), "label int, held array<bigint>, sums array<double>")
+        once = train.withColumn("h", F.xxhash64("id", "text")).where(F.col("h") <= border).dropDuplicates(["h"])
+        chosen = once.select("label", "text").mapInArrow(_features(model), "label int, held array<bigint>, sums array<double>")
         sample = checkpointed(chosen).toArrow()
         held = [np.asarray(h.values, np.int64) for h in sample.column("held")]
         sums = np.asarray(pc.list_flatten(sample.column("sums"))).reshape(len(held), -1)
