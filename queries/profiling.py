@@ -21,6 +21,15 @@ def lines(spark, sf_dir):
     return table(spark, sf_dir, "lineitem")
 
 
+def line_labels(spark, sf_dir):
+    """Label columns from two values to nearly as many as rows, the keys as text."""
+    keys = [F.col(n).cast("string").alias(n) for n in ("l_suppkey", "l_partkey", "l_orderkey")]
+    return lines(spark, sf_dir).select("l_linestatus", "l_returnflag", *keys)
+
+
+LINE_LABELS = ["l_linestatus", "l_returnflag", "l_suppkey", "l_partkey", "l_orderkey"]
+
+
 def rounded(df, *skip, digits=5):
     kinds = dict(df.dtypes)
     return df.select(*[
@@ -219,6 +228,7 @@ QUERIES = {
     "global_metrics_graded": lambda s, d: Q.global_metrics(graded(s, d)),
     "source_overview_graded": lambda s, d: Q.source_overview(graded(s, d).drop("row_id", "n_chars")),
     "top_categories_lineitem": lambda s, d: P.top_categories(lines(s, d).select(*LINE_CATEGORIES)),
+    "top_categories_sketched": lambda s, d: P.top_categories(line_labels(s, d), sketched=True),
     "top_categories_flow": lambda s, d: P.top_categories(flow(s, d)),
     "categorical_profile_flow": lambda s, d: P.categorical_profile(flow(s, d)),
     "describe_lineitem": lambda s, d: rounded(P.describe(lines(s, d), LINE_NUMBERS)),
@@ -303,6 +313,9 @@ SQL = {
     "top_categories_lineitem": f"""WITH k AS ({k0_sql('lineitem', LINE_CATEGORIES)}),
       r AS (SELECT col, row_number() OVER (PARTITION BY col ORDER BY n DESC, val) AS rank, val, n FROM k WHERE val IS NOT NULL)
       SELECT col AS "column", rank, val AS value, n AS count, round(n / (SELECT count(*) FROM lineitem) * 100.0, 4) AS pct FROM r WHERE rank <= 10""",
+    "top_categories_sketched": f"""WITH k AS ({k0_sql('lineitem', LINE_LABELS)}),
+      r AS (SELECT col, row_number() OVER (PARTITION BY col ORDER BY n DESC, val) AS rank, val, n FROM k WHERE val IS NOT NULL)
+      SELECT col AS "column", rank, val AS value, n AS count, round(n / (SELECT count(*) FROM lineitem) * 100.0, 4) AS pct FROM r WHERE rank <= 10""",
     "top_categories_flow": f"""WITH {FLOW_SQL}, k AS ({k0_sql('flow', ['Owner', 'Size', 'Type'])}),
       r AS (SELECT col, row_number() OVER (PARTITION BY col ORDER BY n DESC, val) AS rank, val, n FROM k WHERE val IS NOT NULL)
       SELECT col AS "column", rank, val AS value, n AS count, round(n / (SELECT count(*) FROM flow) * 100.0, 4) AS pct FROM r WHERE rank <= 10""",

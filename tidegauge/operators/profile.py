@@ -17,6 +17,7 @@ from tidegauge.functions.columns import (
     share,
 )
 from tidegauge.plans.counts import column_summary, long_numbers, top_values, value_counts
+from tidegauge.plans.heavy import top_counts
 from tidegauge.plans.ordered import QUARTILES, quantiles
 from tidegauge.plans.sizing import attach, is_small, is_tiny, materialised, rows_of
 
@@ -150,16 +151,19 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, summary: Data
     return edges.join(placed, ["column", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def top_categories(df: DataFrame, k: int = 10, counts: DataFrame | None = None) -> DataFrame:
-    """Most frequent labels per categorical column; percentages are of all rows."""
+def top_categories(df: DataFrame, k: int = 10, counts: DataFrame | None = None, sketched: bool | None = None) -> DataFrame:
+    """Most frequent labels per categorical column; percentages are of all rows.
+
+    Without ``counts`` a large table is read through a sketch of its frequent values (``sketched`` forces either way).
+    """
     names = categorical_columns(df)
-    if counts is None:
-        counts = value_counts(df, names)
-    counts = counts.filter(F.col("column").isin(*names))
-    n_rows = column_summary(counts).select("column", "n_rows")
+    if counts is None and names and (not is_small(df) if sketched is None else sketched):
+        top = top_counts(df, names, k)
+    else:
+        counts = (value_counts(df, names) if counts is None else counts).filter(F.col("column").isin(*names))
+        top = top_values(counts, k).join(F.broadcast(column_summary(counts).select("column", "n_rows")), "column")
     return (
-        top_values(counts, k)
-        .join(F.broadcast(n_rows), "column")
+        top
         .select("column", "rank", "value", F.col("n").alias("count"), share(F.col("n"), F.col("n_rows")).alias("pct"))
     )
 
