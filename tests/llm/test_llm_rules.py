@@ -19,7 +19,7 @@ from tidegauge.llm import warc
 from tidegauge.llm.language_id import accepted_documents, document_evidence, identify, page_evidence, text_model
 from tidegauge.llm.line_frequency import line_quality
 from tidegauge.llm.mixing import mix, mixed_documents, source_targets
-from tidegauge.llm.toxicity import toxicity_scores
+from tidegauge.llm.toxicity import fitting_rows, toxicity_scores
 
 
 def brute_measures(text):
@@ -189,6 +189,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert right >= 0.9 * said and right >= 0.6 * true and found.score.between(0, 1).all()
 
 
+def test_fitting_rows_are_bounded_where_one_id_repeats(spark):
+    """Half of all rows under one id, in 300 texts and in one text 300 times."""
+    data = [(7, f"text {i}" if i < 300 else "the same", 1) for i in range(600)] + [(100 + i, f"other {i}", 0) for i in range(600)]
+    train = spark.createDataFrame(data, "id bigint, text string, label int")
+    hashes = train.select("label", F.xxhash64("id", "text").alias("h"))
+    for bound, rows_left in ((50, 50), (901, 901), (5000, 901)):
+        got = fitting_rows(train, hashes, bound).collect()
+        assert len(got) == rows_left and sum(r.text == "the same" for r in got) <= 1
+    docs = train.select(F.col("id").alias("doc_id"), "text")
+    found = toxicity_scores(docs, train.select(F.col("id").alias("doc_id"), F.col("label").alias("toxic")), fit_rows=50)
+    assert found.count() == 1200 and found.where("score is null or score < 0 or score > 1").count() == 0
+
+
 def test_toxicity_of_a_wide_and_rare_vocabulary(spark):
     picked = random.Random(5)
     words = ["".join(picked.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(2600)]

@@ -156,6 +156,12 @@ def _scores(model: object, weights: np.ndarray, group_weights: np.ndarray, bias:
     return run
 
 
+def fitting_rows(train: DataFrame, hashes: DataFrame, fit_rows: int) -> DataFrame:
+    """(label, text) of at most ``fit_rows`` rows of ``train``: those with the smallest hash ``h`` of id and text, equal ones once."""
+    border = hashes.select("h").distinct().orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+    return train.where(F.xxhash64("id", "text") <= border).dropDuplicates(["id", "text"]).select("label", "text")
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3,
                     held_fold: int = 1, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
@@ -201,9 +207,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for label, name in enumerate(("clean", "toxic")):
             both[label, every.column("bucket").to_numpy()] = every.column(name).to_numpy()
         model = docs.sparkSession.sparkContext.broadcast((both, np.array([clean, toxic]), buckets))
-        border = ids.select("h").distinct().orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-        once = train.withColumn("h", F.xxhash64("id", "text")).where(F.col("h") <= border).dropDuplicates(["h"])
-        chosen = once.select("label", "text").mapInArrow(_features(model), "label int, held array<bigint>, sums array<double>")
+        chosen = fitting_rows(train, ids, fit_rows).mapInArrow(_features(model), "label int, held array<bigint>, sums array<double>")
         sample = checkpointed(chosen).toArrow()
         held = [np.asarray(h.values, np.int64) for h in sample.column("held")]
         sums = np.asarray(pc.list_flatten(sample.column("sums"))).reshape(len(held), -1)
