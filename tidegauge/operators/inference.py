@@ -592,11 +592,15 @@ def _fit_absorbed(data: DataFrame, target: str, used: Sequence[str], wide: Seque
 
 
 def fit_wide(data: DataFrame, target: str, used: Sequence[str], max_columns: int) -> tuple[tuple, DataFrame, list[tuple]]:
-    """Least squares with more levels than ``max_columns``: the widest label columns are absorbed until the others fit."""
+    """Least squares with more levels than ``max_columns``: the widest label columns are absorbed until the others fit.
+
+    The widest column always goes, a further one only with more than ``NARROW`` levels: steps over tables pay for wide columns
+    alone. Narrow columns that don't fit ``max_columns`` together raise ``DesignTooWide``.
+    """
     widths, room, wide = _by_width(data, used), max_columns - 1, []
     narrow = sum(d - 1 for _, d in widths) + len(used) - len(widths)
     for name, d in widths:
-        if narrow > room or not wide:
+        if not wide or (narrow > room and d > NARROW):
             wide.append(name)
             narrow -= d - 1
     if not wide:
