@@ -42,8 +42,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences along the curve."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
+    """Pieces of token sequences along the curve, with their ids (little-endian, four bytes each)."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [
