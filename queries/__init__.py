@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pivoting", "profiling", "reconciling", "associating", "forecasting", "clustering")
+MODULES = ("pivoting", "profiling", "reconciling", "associating", "forecasting", "clustering", "reporting")
 
 
 def _collect(name: str) -> dict:

@@ -55,6 +55,16 @@ def load_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return spark.read.parquet(f"{path}/assignment"), spark.read.parquet(f"{path}/summary")
 
 
+def save_analysis(imputed: DataFrame, report: DataFrame, path: str, period: str | None = None) -> None:
+    """Analysis copy of a source beside the report of what was filled."""
+    save_table(imputed, f"{path}/analysis", period)
+    save_table(report, f"{path}/imputation")
+
+
+def load_analysis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/analysis"), spark.read.parquet(f"{path}/imputation")
+
+
 def preview(df: DataFrame, key: str, limit: int = 20) -> DataFrame:
     """First rows by key. Spark tables have no row order, so the key is explicit."""
     if not 1 <= limit <= MAX_PREVIEW:
