@@ -3,7 +3,7 @@
 Trees see a row only through its label columns and the bin of its numbers, and squared errors need only counts and sums.
 So the training rows collapse, in one grouped aggregation, to one cell per combination, with its rows and its mean
 target. Where the counted cells stay within a bound, one task grows all trees of a fit from them; several fits
-run beside each other. Beyond the bound the fit goes to Spark ML's distributed learner.
+run beside each other. Beyond the bound cells stay spread over tasks (``spread_trees``) or the fit goes to Spark ML's distributed learner.
 """
 
 from __future__ import annotations
@@ -50,21 +50,25 @@ def goes_right(codes: np.ndarray, ordered: np.ndarray, feature: np.ndarray, code
     return (feature >= 0) & np.where(ordered[feature], value > code, value != code)
 
 
+def best_codes(wl: np.ndarray, gl: np.ndarray, whole_w: np.ndarray, whole_g: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Code and gain of each node's best split from its sums per code."""
+    if ordered:
+        wl, gl = wl.cumsum(axis=1), gl.cumsum(axis=1)
+    wr, gr = whole_w - wl, whole_g - gl
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where((wl >= 1) & (wr >= 1), gl * gl / wl + gr * gr / wr - whole_g * whole_g / whole_w, 0.0)
+    # Gains within a hair are equal, so that the order of summation decides nothing.
+    top = (gain >= gain.max(axis=1, keepdims=True) * (1 - HAIR)).argmax(axis=1)
+    return top, gain[np.arange(len(top)), top]
+
+
 def _splits(codes: np.ndarray, levels: list[int], ordered: np.ndarray, node: np.ndarray, nodes: int, w: np.ndarray, g: np.ndarray):
     """Best split of each node: feature, code and gain. Equal gains go to the first feature and the lowest code."""
     feature, code, best = np.full(nodes, -1), np.zeros(nodes, np.int64), np.full(nodes, 1e-9)
     for f, size in enumerate(levels):
         at = node * size + codes[f]
         wl, gl = np.bincount(at, w, nodes * size).reshape(nodes, size), np.bincount(at, g, nodes * size).reshape(nodes, size)
-        whole_w, whole_g = wl.sum(axis=1, keepdims=True), gl.sum(axis=1, keepdims=True)
-        if ordered[f]:
-            wl, gl = wl.cumsum(axis=1), gl.cumsum(axis=1)
-        wr, gr = whole_w - wl, whole_g - gl
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where((wl >= 1) & (wr >= 1), gl * gl / wl + gr * gr / wr - whole_g * whole_g / whole_w, 0.0)
-        # Gains within a hair are equal, so that the order of summation decides nothing.
-        top = (gain >= gain.max(axis=1, keepdims=True) * (1 - HAIR)).argmax(axis=1)
-        found = gain[np.arange(nodes), top]
+        top, found = best_codes(wl, gl, wl.sum(axis=1, keepdims=True), gl.sum(axis=1, keepdims=True), ordered[f])
         better = found > best * (1 + HAIR)
         feature[better], code[better], best[better] = f, top[better], found[better]
     return feature, code, np.where(feature >= 0, best, 0.0)
@@ -143,10 +147,17 @@ class CellModel:
                 np.searchsorted(e, frame.iloc[:, i].to_numpy(float)) if o else pd.Index(e).get_indexer(frame.iloc[:, i])
                 for i, (e, o) in enumerate(zip(edges, ordered))
             ])
-            out = np.full(len(frame), start)
+            if not len(frame):
+                return pd.Series([], dtype=float)
+            # Rows of equal codes share a prediction; numbered column by column, so that numbers stay small.
+            same = np.zeros(len(frame), np.int64)
+            for row in codes:
+                same = np.unique(same * (row.max() + 2) + row + 1, return_inverse=True)[1]
+            codes = codes[:, np.unique(same, return_index=True)[1]]
+            out = np.full(codes.shape[1], start)
             for tree in trees:
                 out += step * tree.leaf[tree.leaves(codes, ordered)]
-            return pd.Series(out)
+            return pd.Series(out[same])
 
         return predict(F.struct(*[c(n) for n in self.columns]))
 
@@ -178,8 +189,8 @@ class Cells:
         self.table.unpersist()
 
 
-def collapse(train: DataFrame, targets: Sequence[str], most_cells: int = MOST_CELLS) -> Cells | None:
-    """One cell per combination of the columns ``num_*``, in bins, and ``cat_*``; None if they are more than ``most_cells``.
+def binned_cells(train: DataFrame, targets: Sequence[str]) -> tuple[DataFrame, list[str], list[str], list[list]]:
+    """One row per combination of the columns ``num_*``, in bins, and ``cat_*``, with its rows and mean targets; the columns, and the bins' edges.
 
     All targets share one aggregation, combined before its shuffle.
     """
@@ -189,13 +200,24 @@ def collapse(train: DataFrame, targets: Sequence[str], most_cells: int = MOST_CE
         shares = [k / BINS for k in range(1, BINS)]
         found = train.agg(*[F.percentile_approx(c(n), shares, 10_000).alias(n) for n in numbers]).first()
         edges = [sorted(set(found[n])) for n in numbers]
-    keys = [*numbers, *labels]
     binned = train.select(*[_bin(n, e).alias(n) for n, e in zip(numbers, edges)], *[c(n) for n in labels], *[c(t) for t in targets])
-    cells = binned.groupBy(*[c(k) for k in keys]).agg(F.count("*").alias("n"), *[F.avg(c(t)).alias(t) for t in targets]).persist()
+    cells = binned.groupBy(*[c(k) for k in (*numbers, *labels)]).agg(F.count("*").alias("n"), *[F.avg(c(t)).alias(t) for t in targets])
+    return cells, numbers, labels, edges
+
+
+def label_levels(cells: DataFrame, labels: Sequence[str]) -> dict[str, list]:
+    """Sorted levels of the label columns."""
+    return cells.agg(*[F.array_sort(F.collect_set(c(n))).alias(n) for n in labels]).first().asDict() if labels else {}
+
+
+def collapse(train: DataFrame, targets: Sequence[str], most_cells: int = MOST_CELLS) -> Cells | None:
+    """One cell per combination of the columns ``num_*``, in bins, and ``cat_*``; None if they are more than ``most_cells``."""
+    cells, numbers, labels, edges = binned_cells(train, targets)
+    cells, keys = cells.persist(), [*numbers, *labels]
     if cells.limit(most_cells + 1).count() > most_cells:
         cells.unpersist()
         return None
-    levels = cells.agg(*[F.array_sort(F.collect_set(c(n))).alias(n) for n in labels]).first() if labels else {}
+    levels = label_levels(cells, labels)
     edges += [levels[n] for n in labels]
     coded = [c(n) for n in numbers] + [F.array_position(F.array(*map(F.lit, levels[n])), c(n)) - 1 for n in labels]
     table = cells.select(*[v.cast("int").alias(f"code_{i}") for i, v in enumerate(coded)], "n", *[c(t) for t in targets]).persist()

@@ -17,6 +17,7 @@ from tidegauge.functions.columns import analytical_columns, as_text, c, is_numer
 from tidegauge.operators.cell_trees import Cells, CellTrees, collapse
 from tidegauge.operators.impute import modes
 from tidegauge.operators.quality import warning_rows
+from tidegauge.operators.spread_trees import SpreadCells, fit_spread, spread_cells
 from tidegauge.operators.temporal import (
     BASELINE,
     STRATEGY_LABELS,
@@ -165,8 +166,35 @@ def _top_effects(model: object, names: Sequence[str], features: Features) -> lis
     return sorted(pairs, key=lambda p: (-abs(p[1]), p[0]))[:EFFECTS_SHOWN]
 
 
-def fit_all(train: DataFrame, jobs: Sequence[tuple[str, str, Factory]], parallelism: int = PARALLELISM, cells: Cells | None = None) -> list[object]:
-    """A fitted model, or the error, for each (learner, strategy, factory). Learners on cells share ``cells``, where there are some.
+def _fit_together(jobs: Sequence[tuple[str, str, Factory]], cells: SpreadCells) -> dict[int, object]:
+    """Models, or the error, of the jobs whose learner works on cells, by position. Equal learners fit all their targets in one job."""
+    groups: dict[CellTrees, list[int]] = {}
+    for at, (_, _, factory) in enumerate(jobs):
+        learner = _learner(factory)
+        if isinstance(learner, CellTrees):
+            groups.setdefault(learner, []).append(at)
+    found: dict[int, object] = {}
+    for learner, places in groups.items():
+        try:
+            found |= zip(places, fit_spread(cells, learner, [f"target_{jobs[at][1]}" for at in places]))
+        except Exception as error:
+            found |= dict.fromkeys(places, error)
+    return found
+
+
+def _learner(factory: Factory) -> object | None:
+    """What the factory makes; its failure is reported by the fit."""
+    try:
+        return factory()
+    except Exception:
+        return None
+
+
+def fit_all(
+    train: DataFrame, jobs: Sequence[tuple[str, str, Factory]], parallelism: int = PARALLELISM,
+    cells: Cells | None = None, spread: SpreadCells | None = None,
+) -> list[object]:
+    """A fitted model, or the error, for each (learner, strategy, factory). Learners on cells share ``cells`` or, one after the other, ``spread``.
 
     Fits run in a bounded pool of threads. Each has a job group of its own and a pool of that
     name for sessions with the fair scheduler; the group is cancelled when its fit fails, so that no
@@ -191,10 +219,11 @@ def fit_all(train: DataFrame, jobs: Sequence[tuple[str, str, Factory]], parallel
         finally:
             sc.setLocalProperty("spark.scheduler.pool", None)
 
+    found = _fit_together(jobs, spread) if spread is not None else {}
     with ThreadPoolExecutor(max(1, min(parallelism, len(jobs) or 1))) as pool:
         # Wrapped once a job, so that each thread has local properties of its own.
-        waiting = [pool.submit(inheritable_thread_target(train.sparkSession)(one), job) for job in jobs]
-        return [result.result() for result in waiting]
+        waiting = {at: pool.submit(inheritable_thread_target(train.sparkSession)(one), job) for at, job in enumerate(jobs) if at not in found}
+        return [found[at] if at in found else waiting[at].result() for at in range(len(jobs))]
 
 
 def run_benchmark(
@@ -219,15 +248,19 @@ def run_benchmark(
     if not features.numeric and not features.categorical:
         raise ValueError("no_temporal_features: no feature varies in training")
     filled = _filled(split, features)
-    prepared = preprocessing(features).fit(filled.filter(~F.col("is_test"))).transform(filled)
-    targets = [transformed(s, bounds).alias(f"target_{s}") for s in strategies]
-    inputs = [n for n in filled.columns if n not in split.rows.columns]
-    prepared = materialised(prepared.select(*split.rows.columns, *inputs, "features", *targets))
-    train, names = prepared.filter(~F.col("is_test")), _feature_names(prepared, features)
+    filled = materialised(filled.select("*", *[transformed(s, bounds).alias(f"target_{s}") for s in strategies]))
+    targets = [f"target_{s}" for s in strategies]
     jobs = [(name, strategy, factory) for name, factory in models.items() if factory is not None for strategy in strategies]
     runs, fitted, effects, failures, notes, done = [], {}, [], [], [], set()
-    cells = collapse(train, [f"target_{s}" for s in strategies])
-    for (name, strategy, _), model in zip(jobs, fit_all(train, jobs, parallelism, cells)):
+    train = filled.filter(~F.col("is_test"))
+    cells = collapse(train, targets)
+    spread = spread_cells(train, targets) if cells is None else None
+    prepared, names = filled, []
+    if (cells is None and spread is None) or not all(isinstance(_learner(factory), CellTrees) for _, _, factory in jobs):
+        # The vector of one-hot labels is for Spark ML's learners alone.
+        prepared = materialised(preprocessing(features).fit(train).transform(filled).select(*filled.columns, "features"))
+        train, names = prepared.filter(~F.col("is_test")), _feature_names(prepared, features)
+    for (name, strategy, _), model in zip(jobs, fit_all(train, jobs, parallelism, cells, spread)):
         if isinstance(model, Exception):
             notes.append(("model_training_failed", "warning", None, f"{name} with {STRATEGY_LABELS[strategy]} failed.", (str(model) or repr(model))[:500]))
             continue
@@ -246,8 +279,11 @@ def run_benchmark(
     for name, strategy, column in runs:
         scored = fitted[column].transform(scored).withColumn(column, restored(strategy, F.col("out"))).drop("out")
     scored = materialised(scored.select(*split.rows.columns, *[column for _, _, column in runs]))
-    for cached in (prepared, split.rows, *([cells.table] if cells else ())):
+    for cached in (prepared, filled, split.rows):
         cached.unpersist()
+    for collapsed in (cells, spread):
+        if collapsed:
+            collapsed.release()
     return Benchmark(
         _benchmark_rows(scored, runs, failures, baseline),
         scored, tuple(runs),
