@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,34 +123,40 @@ def _edge(index: Column) -> Column:
     return F.when(index == F.col("bins"), F.col("high")).otherwise(F.col("low") + index * step)
 
 
+def _bin_counts(df: DataFrame, names: Sequence[str], edges: DataFrame) -> DataFrame:
+    """Rows per column and bin: a search among the bin edges per value, counted before anything is shuffled.
+
+    Edges too close for a double to tell apart are one; its rows belong to the last of their bins.
+    """
+    bounds: dict[str, dict] = {}
+    for row in edges.orderBy("column", "bin").collect():
+        if row["left"] is not None and math.isfinite(row["left"]):
+            bounds.setdefault(row["column"], {})[row["left"]] = row["bin"]
+    if not bounds:
+        return df.sparkSession.createDataFrame([], "column string, bin int, count bigint")
+    found = [n for n in names if n in bounds]
+    rows, parts = df.select(*[present(df, n).cast("double").alias(f"v{i}") for i, n in enumerate(found)]), []
+    for i, n in enumerate(found):
+        # Open ends take the largest value into the last bin; nothing lies below the first.
+        splits = [-math.inf, *bounds[n], math.inf]
+        rows = Bucketizer(splits=splits, inputCol=f"v{i}", outputCol=f"b{i}", handleInvalid="keep").transform(rows)
+        parts.append((n, [None, *bounds[n].values()], f"b{i}"))
+    long = F.stack(F.lit(len(parts)), *[p for k, (_, _, b) in enumerate(parts) for p in (F.lit(k), F.col(b))]).alias("at", "spot")
+    counts = rows.select(long).filter("spot IS NOT NULL").groupBy("at", "spot").agg(F.count("*").alias("count"))
+    place = F.array(*[F.lit(n) for n, _, _ in parts]), F.array(*[F.array(*[F.lit(b).cast("int") for b in bins]) for _, bins, _ in parts])
+    return counts.select(F.get(place[0], F.col("at")).alias("column"), F.get(F.get(place[1], F.col("at")), F.col("spot").cast("int")).alias("bin"), "count")
+
+
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, summary: DataFrame | None = None) -> DataFrame:
     """Automatic equal-width histogram of each numeric column, empty bins included."""
     names = list(columns) if columns is not None else numeric_columns(df)
     if summary is None:
         summary = numeric_summary(df, names, shape=False)
     layout = materialised(histogram_layout(summary))  # one row per column
-    guess = F.least(
-        F.floor((F.col("value") - F.col("low")) * (F.col("bins") / (F.col("high") - F.col("low")))),
-        F.col("bins") - 1,
-    )
-    placed = (
-        long_numbers(df, names)
-        .filter(F.col("value").isNotNull())
-        .join(F.broadcast(layout), "column")
-        .withColumn("bin", guess.cast("int"))
-        .withColumn("bin", F.when(F.col("value") < _edge(F.col("bin")), F.col("bin") - 1).otherwise(F.col("bin")))
-        .withColumn(
-            "bin",
-            F.when(
-                (F.col("value") >= _edge(F.col("bin") + 1)) & (F.col("bin") < F.col("bins") - 1), F.col("bin") + 1
-            ).otherwise(F.col("bin")),
-        )
-        .groupBy("column", "bin")
-        .agg(F.count("*").alias("count"))
-    )
     every = layout.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    edges = every.select("column", "bin", _edge(F.col("bin")).alias("left"), _edge(F.col("bin") + 1).alias("right"))
-    return edges.join(placed, ["column", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    edges = materialised(every.select("column", "bin", _edge(F.col("bin")).alias("left"), _edge(F.col("bin") + 1).alias("right")))
+    counted = _bin_counts(df, names, edges)
+    return edges.join(F.broadcast(counted), ["column", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def top_categories(df: DataFrame, k: int = 10, counts: DataFrame | None = None, sketched: bool | None = None) -> DataFrame:
