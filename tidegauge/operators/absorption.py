@@ -1,8 +1,9 @@
 """Least squares with several wide label columns: their effects are solved by conjugate gradients over sums per level.
 
 The normal equations of label columns need no matrix: multiplying by it sends each level's value to the
-combinations of levels that hold it and sums what comes back. Every step is one join and one aggregation
-per column on collapsed rows, combined before the shuffle; the driver sees a few sums.
+combinations of levels that hold it and sums what comes back. The first column, the widest, is eliminated exactly, as its own
+block is diagonal, so that only the other columns' levels are iterated and half as many steps are needed. Combinations lie
+ready by either column: a step moves sums alone, combined before the shuffle; the driver sees a few sums.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegauge.operators.cluster import connected_components
-from tidegauge.plans.sizing import BROADCAST_ROWS, checkpointed
+from tidegauge.plans.sizing import BROADCAST_ROWS, attach, checkpointed
 
 #: Steps end when every right-hand side has this share of its first norm left.
 CLOSE = 1e-9
@@ -41,20 +42,41 @@ def _vector_sum(name: str, size: int) -> Column:
     return F.array(*[F.sum(F.get(name, i)) for i in range(size)])
 
 
-def _by_level(cells: DataFrame, wide: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """One row per cell and wide column: ``axis``, ``level`` and the named values."""
-    return cells.select(F.inline(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(w).alias("level")) for i, w in enumerate(wide)])), *values)
+def _by_level(cells: DataFrame, axes: dict[int, str], values: Sequence[Column | str]) -> DataFrame:
+    """One row per cell and label column: ``axis``, ``level`` and the values."""
+    if len(axes) == 1:
+        return cells.select(*[F.lit(i).alias("axis") for i in axes], *[F.col(w).alias("level") for w in axes.values()], *values)
+    return cells.select(F.inline(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(w).alias("level")) for i, w in axes.items()])), *values)
 
 
-def _times(cells: DataFrame, wide: Sequence[str], state: DataFrame, size: int, few: bool) -> DataFrame:
-    """``q``: the matrix of level products times ``p``, per axis and level. ``few`` levels are broadcast."""
-    placed, parts = cells.select(*wide, "n"), []
-    for i, w in enumerate(wide):
-        side = state.filter(F.col("axis") == i).select(F.col("level").alias(w), F.col("p").alias(f"p{i}"))
-        placed = placed.join(F.broadcast(side) if few else side, w)
+def _laid_out(cells: DataFrame, column: str) -> DataFrame:
+    """The cells kept by the levels of a column: joins and sums on it move nothing."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, column).sortWithinPartitions(column).persist()
+
+
+def _placed(cells: DataFrame, axes: dict[int, str], state: DataFrame, vector: str, size: int, few: bool) -> DataFrame:
+    """The cells with ``v``: what the levels' vectors add up to in their rows. ``few`` levels are broadcast."""
+    columns, parts = cells.columns, []
+    for i, w in axes.items():
+        side = state.filter(F.col("axis") == i).select(F.col("level").alias(w), F.col(vector).alias(f"p{i}"))
+        cells = cells.join(F.broadcast(side) if few else side, w)
         parts.append(f"p{i}")
     total = F.array(*[sum((F.get(p, k) for p in parts), F.lit(0.0)) * F.col("n") for k in range(size)])
-    return _by_level(placed.withColumn("v", total), wide, ["v"]).groupBy("axis", "level").agg(_vector_sum("v", size).alias("q"))
+    return cells.select(*columns, total.alias("v"))
+
+
+def _times(by_own: DataFrame, by_rest: DataFrame, own: str, axes: dict[int, str], state: DataFrame, size: int, few: bool) -> DataFrame:
+    """``q``: the matrix of level products, without what the levels of ``own`` explain, times ``p``, per axis and level."""
+    placed = _placed(by_own if few else by_rest, axes, state, "p", size, few)
+    means = placed.groupBy(own).agg(F.sum("n").alias("__n"), _vector_sum("v", size).alias("v"))
+    back = by_own.join(means, own)
+    less = F.array(*[-F.get("v", k) / F.col("__n") * F.col("n") for k in range(size)])
+    taken = _by_level(back, axes, [less.alias("v")])
+    # A lone column meets itself on the diagonal alone.
+    own_part = _by_level(placed, axes, ["v"]) if len(axes) > 1 else state.select(
+        "axis", "level", F.array(*[F.col("d") * F.get("p", k) for k in range(size)]).alias("v"))
+    return taken.union(own_part).groupBy("axis", "level").agg(_vector_sum("v", size).alias("q"))
 
 
 def _written(state: DataFrame, pairs: Sequence[tuple[str, str, bool]], size: int) -> tuple[DataFrame, list[np.ndarray]]:
@@ -74,23 +96,36 @@ def _scaled(factors: np.ndarray, vector: Column | str, plus: str | None = None,
     return F.array(*items)
 
 
-def level_effects(cells: DataFrame, wide: Sequence[str], size: int) -> DataFrame:
+def lone_effects(cells: DataFrame, column: str, size: int) -> DataFrame:
+    """(axis, level, b, x) of one label column: its effects are means."""
+    found = cells.groupBy(F.col(column).alias("level")).agg(F.sum("n").cast("double").alias("d"), _vector_sum("s", size).alias("b"))
+    return found.select(F.lit(0).alias("axis"), "level", "b", _scaled(np.ones(size), "b", divided=True).alias("x"))
+
+
+def level_effects(by_own: DataFrame, by_rest: DataFrame, wide: Sequence[str], size: int) -> DataFrame:
     """(axis, level, b, x): sums of the vectors per level and the effects that reproduce them.
 
-    ``cells`` has the wide columns, the rows ``n`` and the vectors' sums ``s``. Jacobi-preconditioned conjugate
-    gradients, all right-hand sides at once. The system may be singular, since effects can move between columns; its solution's
-    products are unique. State is written to the checkpoint folder once a step.
+    The cells, laid out by the first and by the second of the wide columns, have the rows ``n`` and the vectors' sums ``s``.
+    Jacobi-preconditioned conjugate gradients, all right-hand sides at once. The system may be singular, since effects can move
+    between columns; its solution's products are unique. State is written to the checkpoint folder once a step.
     """
-    start = _by_level(cells, wide, ["n", "s"]).groupBy("axis", "level").agg(F.sum("n").cast("double").alias("d"), _vector_sum("s", size).alias("b"))
+    own, axes = wide[0], dict(enumerate(wide[1:], 1))
     ones, none = np.ones(size), np.zeros(size)
-    begun = start.select("axis", "level", "d", "b", _scaled(none, "b").alias("x"), F.col("b").alias("r"), _scaled(ones, "b", divided=True).alias("p"))
-    state, (left,) = _written(begun, [("r", "r", True)], size)
-    first, few = left, size <= 32 and state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    top = by_own.groupBy(own).agg(F.sum("n").cast("double").alias("d"), _vector_sum("s", size).alias("b")).withColumn("m", _scaled(ones, "b", divided=True))
+    apart = F.array(*[F.get("s", k) - F.get("m", k) * F.col("n") for k in range(size)])
+    start = _by_level(by_own.join(top.select(own, "m"), own), axes, ["n", "s", apart.alias("r")]).groupBy("axis", "level").agg(
+        F.sum("n").cast("double").alias("d"), _vector_sum("s", size).alias("b"), _vector_sum("r", size).alias("r"))
+    begun = start.select("axis", "level", "d", "b", _scaled(none, "b").alias("x"), "r", _scaled(ones, "r", divided=True).alias("p"))
+    state, (left, whole) = _written(begun, [("r", "r", True), ("b", "b", True)], size)
+    least = top.agg(*[F.sum(F.get("b", k) * F.get("m", k)).alias(f"s{k}") for k in range(size)]).first()
+    first, few = whole + np.array(least, float), size <= 32 and state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     for _ in range(MOST_STEPS):
         if (left <= CLOSE**2 * first).all():
-            return state.select("axis", "level", "b", "x")
+            seen = _placed(by_own if few else by_rest, axes, state, "x", size, few).groupBy(own).agg(_vector_sum("v", size).alias("v"))
+            rest = F.array(*[(F.get("b", k) - F.get("v", k)) / F.col("d") for k in range(size)])
+            return state.select("axis", "level", "b", "x").union(top.join(seen, own).select(F.lit(0), own, "b", rest))
         # Sums of the residual as it is now, so that rounding of earlier steps doesn't stay.
-        state, (left, pq, rq, qq) = _written(state.join(_times(cells, wide, state, size, few), ["axis", "level"]), [
+        state, (left, pq, rq, qq) = _written(state.join(_times(by_own, by_rest, own, axes, state, size, few), ["axis", "level"]), [
             ("r", "r", True), ("p", "q", False), ("r", "q", True), ("q", "q", True)], size)
         step = np.divide(left, pq, out=none.copy(), where=(pq > 0) & (left > CLOSE**2 * first))
         # The residual's next norm from sums at hand saves a pass; rounding can't take it below zero.
@@ -103,41 +138,75 @@ def level_effects(cells: DataFrame, wide: Sequence[str], size: int) -> DataFrame
     raise NotConverged(f"effects of {', '.join(wide)} are not settled after {MOST_STEPS} steps")
 
 
+def vectors_of(column: pa.ListArray, rows: int) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+
 def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
         if batch.num_rows:
-            b, x = (np.array(batch.column(k).to_pylist(), float) for k in ("b", "x"))
+            b, x = (vectors_of(batch.column(k), batch.num_rows) for k in ("b", "x"))
             total = b.T @ x if total is None else total + b.T @ x
     if total is not None:
         yield pa.record_batch({"sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def wide_rank(cells: DataFrame, wide: Sequence[str]) -> int:
+def linked_groups(by_own: DataFrame, by_rest: DataFrame, own: str, other: str) -> int:
+    """Groups of levels of two columns that no row connects.
+
+    Each level of ``other`` first takes the lowest level it shares a level of ``own`` with. Where these end, the rows are
+    read once more: few links are left between the ends, and components are taken of these alone.
+    """
+    low = by_own.groupBy(own).agg(F.min(F.xxhash64(other)).alias("low"))
+    ups = checkpointed(by_own.join(low, own).groupBy(other).agg(F.min("low").alias("up")).select(other, F.xxhash64(other).alias("id"), "up"))
+    while True:
+        higher = attach(ups, ups.select(F.col("id").alias("up"), F.col("up").alias("next")), ["up"])
+        higher = checkpointed(higher.select(other, "id", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+        ups = higher.drop("moved")
+        if not higher.filter("moved").take(1):
+            break
+    parts = int(by_rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = by_rest.select(own, other).join(ups.select(other, "up"), other).select(own, "up").repartition(parts, own)
+    first = ends.groupBy(own).agg(F.min("up").alias("first"), F.max("up").alias("last")).filter("first < last").drop("last")
+    links = ends.join(first, own).filter("first < up").select(F.lit(0).alias("run"), F.col("first").alias("a"), F.col("up").alias("b")).distinct()
+    links = checkpointed(links)
+    edges = links.union(links.select("run", "b", "a"))
+    nodes = edges.select("run", F.col("a").alias("id")).distinct()
+    labels = connected_components(nodes, edges)
+    linked = labels.agg(F.count("*").alias("n"), F.count_distinct("label").alias("groups")).first()
+    return ups.filter("id = up").count() - linked["n"] + linked["groups"]
+
+
+def wide_rank(cells: DataFrame, wide: Sequence[str], by_own: DataFrame | None = None, by_rest: DataFrame | None = None) -> int:
     """Rank of the label columns together, the constant included.
 
     Of two columns: their levels less the groups of levels that no row connects. Each further column is counted against the first alone, the
-    usual bound.
+    usual bound. The cells may lie ready by the first and by the second column.
     """
-    sizes = cells.agg(*[F.count_distinct(w).alias(w) for w in wide]).first()
-    rank = sizes[wide[0]]
-    for w in wide[1:]:
-        pairs = cells.select(F.lit(0).alias("run"), F.xxhash64(F.lit(0), wide[0]).alias("a"), F.xxhash64(F.lit(1), w).alias("b")).distinct()
-        edges = checkpointed(pairs.union(pairs.select("run", "b", "a")))
-        labels = connected_components(edges.select("run", F.col("a").alias("id")).distinct(), edges)
-        rank += sizes[w] - labels.select("label").distinct().count()
-    return rank
+    by_own = cells if by_own is None else by_own
+    levels = sum(cells.select(w).distinct().count() for w in wide)
+    return levels - sum(linked_groups(by_own, by_rest if by_rest is not None and w == wide[1] else cells, wide[0], w) for w in wide[1:])
 
 
 def absorb(rows: DataFrame, wide: Sequence[str], vectors: Sequence[Column]) -> Absorbed:
-    """Project ``vectors`` of the rows on the label columns ``wide``."""
-    named = [v.alias(f"v{k}") for k, v in enumerate(vectors)]
-    sums = [F.sum(f"v{k}") for k in range(len(named))]
+    """Project ``vectors`` of the rows on the label columns ``wide``, the widest first."""
+    named, size = [v.alias(f"v{k}") for k, v in enumerate(vectors)], len(vectors)
+    sums = [F.sum(f"v{k}") for k in range(size)]
     keyed = rows.select(*wide, *named).groupBy(*wide)
     cells = checkpointed(keyed.agg(F.count("*").alias("n"), F.array(*sums).alias("s")))
-    effects = level_effects(cells, wide, len(named))
+    if len(wide) == 1:
+        effects = checkpointed(lone_effects(cells, wide[0], size))
+        rank = effects.count()
+    else:
+        by_own, by_rest = _laid_out(cells, wide[0]), _laid_out(cells.drop("s"), wide[1])
+        effects = checkpointed(level_effects(by_own, by_rest, wide, size))
+        rank = wide_rank(cells, wide, by_own, by_rest)
+        by_own.unpersist()
+        by_rest.unpersist()
     parts = [np.frombuffer(r["sums"]) for r in effects.select("b", "x").coalesce(16).mapInArrow(_outer, "sums binary").collect()]
-    return Absorbed(sum(parts, np.zeros(len(named) ** 2)).reshape(len(named), len(named)), effects, wide_rank(cells, wide))
+    return Absorbed(sum(parts, np.zeros(size**2)).reshape(size, size), effects, rank)
 
 
 def without_each(wide: Sequence[str]) -> list[tuple[str, list[str]]]:
