@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -22,8 +23,8 @@ from tidegauge.functions.columns import (
     is_numeric,
     present,
 )
-from tidegauge.functions.tails import chi2_p, f_p, f_tail, t_p, t_quantile, t_two_sided
-from tidegauge.operators.absorption import NotConverged, absorb, without_each
+from tidegauge.functions.tails import chi2_p, f_p, f_tail, t_beyond, t_p, t_quantile, t_two_sided
+from tidegauge.operators.absorption import NotConverged, absorb, vectors_of, without_each
 from tidegauge.operators.association import correlation
 from tidegauge.operators.profile import box_stats
 from tidegauge.operators.quality import as_warning, empty_warnings, quality_warnings, warning_rows
@@ -37,6 +38,8 @@ BOX_FEATURES, TERMS_NAMED = 3, 3
 MAX_DESIGN = 1_000
 #: Levels of a label column that stays in the design beside several wide ones.
 NARROW = 32
+#: Columns beside an eliminated one up to which its levels are handled by expressions, without Python.
+FEW = 8
 INFINITE = float("inf")
 EXACT_FIT = 1e-14  # share of variance left below which a fit counts as exact
 
@@ -220,6 +223,7 @@ class Design:
     n: int
     shift: np.ndarray
     y_shift: float
+    medians: dict[str, float]
 
 
 @dataclass(frozen=True)
@@ -228,9 +232,14 @@ class Regression:
     coefficients: DataFrame
     terms: DataFrame
     conclusions: DataFrame
-    warnings: DataFrame
+    warned: Callable[[], DataFrame]
     built: bool = field(default=False)
 
+    @cached_property
+    def warnings(self) -> DataFrame:
+        """Looked for when they are read: the fences of the target need passes of their own."""
+        return self.warned()
+
 
 SUMMARY_SCHEMA = (
     "model_built boolean, n_obs bigint, n_features int, r_squared double, adj_r_squared double, f_statistic double, "
@@ -258,18 +267,15 @@ def build_design(df: DataFrame, target: str, features: Sequence[str], max_column
     """
     numeric = [n for n in features if is_numeric(df, n)]
     labels = [n for n in features if n not in numeric]
-    medians = {}
-    if numeric:
-        found = quantiles(long_numbers(df, numeric), ["column"], "value", {"m": 0.5}, small=is_small(df))
-        medians = {r["column"]: r["m"] for r in found.collect()}
     at = {n: f"g{i}" for i, n in enumerate(labels)}
+    levels = _levels(df.select(*[F.coalesce(as_text(df, n), F.lit(MISSING_LABEL)).alias(k) for n, k in at.items()]), at, max_columns - len(numeric) - 1)
+    medians = _design_medians(df, numeric)
     xs = [f"x{i}" for i in range(len(numeric))]
     filled = df.select(
         c(target).alias("y"),
-        *[F.coalesce(present(df, n).cast("double"), F.lit(float(medians.get(n) or 0.0))).alias(x) for n, x in zip(numeric, xs)],
+        *[F.coalesce(present(df, n).cast("double"), F.lit(medians[n])).alias(x) for n, x in zip(numeric, xs)],
         *[F.coalesce(as_text(df, n), F.lit(MISSING_LABEL)).alias(at[n]) for n in labels],
     )
-    levels = _levels(filled, at, max_columns - len(numeric) - 1)
     row = filled.agg(F.avg("y").alias("y"), *[F.avg(x).alias(x) for x in xs]).first()
     shift, y_shift = [row[x] for x in xs], row["y"]
     centred = filled.select(
@@ -289,7 +295,7 @@ def build_design(df: DataFrame, target: str, features: Sequence[str], max_column
         blocks = cells.groupingSets(sets, *keys).agg(*totals).collect()
     else:
         blocks = cells.agg(*totals).collect()
-    return _assemble(blocks, numeric, labels, at, levels, list(sums), np.array(shift, dtype=float), y_shift)
+    return _assemble(blocks, numeric, labels, at, levels, list(sums), np.array(shift, dtype=float), y_shift, medians)
 
 
 def _levels(filled: DataFrame, at: dict[str, str], room: int) -> dict[str, list[str]]:
@@ -304,7 +310,7 @@ def _levels(filled: DataFrame, at: dict[str, str], room: int) -> dict[str, list[
     return {n: sorted(r["level"] for r in found if r["feature"] == n) for n in at}
 
 
-def _assemble(blocks, numeric, labels, at, levels, sum_names, shift, y_shift) -> Design:
+def _assemble(blocks, numeric, labels, at, levels, sum_names, shift, y_shift, medians) -> Design:
     names, terms = ["Intercept"], {}
     for i, n in enumerate(numeric):
         terms[n] = ("numeric", (len(names),))
@@ -347,7 +353,7 @@ def _assemble(blocks, numeric, labels, at, levels, sum_names, shift, y_shift) ->
                 put(i + 1, at_column, row[f"s{i}"])
         else:
             put(*positions, row["n"])
-    return Design(tuple(names), terms, gram, moment, float(y_square), n_rows, shift, float(y_shift))
+    return Design(tuple(names), terms, gram, moment, float(y_square), n_rows, shift, float(y_shift), medians)
 
 
 def _solve(design: Design) -> tuple[np.ndarray, np.ndarray, int]:
@@ -449,22 +455,22 @@ def _design_medians(data: DataFrame, numeric: Sequence[str]) -> dict[str, float]
     return medians
 
 
-def _design_columns(data: DataFrame, design: Design, medians: dict[str, float]) -> list[Column]:
+def _design_columns(data: DataFrame, design: Design) -> list[Column]:
     """All model columns but the constant, centred as in ``design``."""
     found = []
     for feature, (kind, columns) in design.terms.items():
         if kind == "numeric":
-            found.append(F.coalesce(present(data, feature).cast("double"), F.lit(medians[feature])) - F.lit(float(design.shift[columns[0] - 1])))
+            found.append(F.coalesce(present(data, feature).cast("double"), F.lit(design.medians[feature])) - F.lit(float(design.shift[columns[0] - 1])))
             continue
         label = F.coalesce(as_text(data, feature), F.lit(MISSING_LABEL))
         found += [(label == design.names[i][len(feature) + 1 : -1]).cast("double") for i in columns]
     return found
 
 
-def _level_sums(data: DataFrame, target: str, wide: str, design: Design, medians: dict[str, float]) -> DataFrame:
+def _level_sums(data: DataFrame, target: str, wide: str, design: Design) -> DataFrame:
     """Per level of the wide column: rows, sum of the target, and sums of all other model columns, centred as in ``design``."""
     y = c(target) - F.lit(design.y_shift)
-    sums = [F.sum(v) for v in _design_columns(data, design, medians)]
+    sums = [F.sum(v) for v in _design_columns(data, design)]
     level = F.coalesce(as_text(data, wide), F.lit(MISSING_LABEL)).alias("level")
     others = F.array(*sums) if sums else F.array().cast("array<double>")
     return data.groupBy(level).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("sy"), others.alias("v"))
@@ -477,7 +483,7 @@ def _outer_products(batches):
         if not batch.num_rows:
             continue
         n, sy = batch.column("n").to_numpy(), batch.column("sy").to_numpy()
-        v = np.array(batch.column("v").to_pylist(), float).reshape(len(n), -1)
+        v = vectors_of(batch.column("v"), len(n))
         joined = np.column_stack([v, sy])
         part = (joined / n[:, None]).T @ joined
         total = part if total is None else total + part
@@ -485,6 +491,37 @@ def _outer_products(batches):
         yield pa.record_batch({"sums": pa.array([total.tobytes()], pa.binary()), "levels": pa.array([0], pa.int64())})
 
 
+def _products(sums: DataFrame, size: int) -> np.ndarray:
+    """Sums over all levels of v v'/n, v sy/n and sy sy/n."""
+    if size > FEW:
+        found = sums.coalesce(16).mapInArrow(_outer_products, "sums binary, levels bigint").collect()
+        return sum((np.frombuffer(r["sums"]) for r in found), np.zeros((size + 1) ** 2)).reshape(size + 1, size + 1)
+    joined = [*[F.get("v", i) for i in range(size)], F.col("sy")]
+    row = sums.agg(*[F.sum(a * b / F.col("n")) for a in joined for b in joined]).first()
+    return np.array(row, float).reshape(size + 1, size + 1)
+
+
+def _effects_of_levels(sums: DataFrame, beta: np.ndarray, inverse: np.ndarray, sigma2: float, first: tuple) -> DataFrame:
+    """``level``, ``estimate`` and ``std_error`` against the first level, by expressions where the other columns are few."""
+    if len(beta) > FEW:
+        return sums.mapInArrow(_level_effects(beta, inverse, sigma2, first), "level string, estimate double, std_error double")
+    n0, y0, v0 = first
+    n, apart = F.col("n"), [F.get("v", i) / F.col("n") - F.lit(float(v) / n0) for i, v in enumerate(v0)]
+    estimate, spread = F.col("sy") / n - F.lit(y0 / n0), 1.0 / n + F.lit(1.0 / n0)
+    for i, a in enumerate(apart):
+        estimate = estimate - a * F.lit(float(beta[i]))
+        for j, b in enumerate(apart):
+            spread = spread + a * b * F.lit(float(inverse[i, j]))
+    return sums.select("level", estimate.alias("estimate"), F.sqrt(F.lit(float(sigma2)) * spread).alias("std_error"))
+
+
+def _by_p_value(coefficients: DataFrame, dof: int) -> DataFrame:
+    """Rows by p-value, then term. With one ``dof`` it falls with |t| until it is 0, so sorting doesn't compute it."""
+    t = F.abs("t_value")
+    key = F.when(t < INFINITE, F.least(t, F.lit(t_beyond(dof)))) if dof > 0 else F.lit(None).cast("double")
+    return coefficients.orderBy(F.desc_nulls_last(key), "term")
+
+
 def _level_effects(beta: np.ndarray, inverse: np.ndarray, sigma2: float, first: tuple):
     """Coefficient and error of each level against the first one."""
     n0, y0, v0 = first
@@ -492,7 +529,9 @@ def _level_effects(beta: np.ndarray, inverse: np.ndarray, sigma2: float, first:
     def run(batches):
         for batch in batches:
             n, sy = batch.column("n").to_numpy(), batch.column("sy").to_numpy()
-            v = np.array(batch.column("v").to_pylist(), float).reshape(len(n), -1)
+            if not len(n):
+                continue
+            v = vectors_of(batch.column("v"), len(n))
             apart = v / n[:, None] - v0 / n0
             spread = 1 / n + 1 / n0 + ((apart @ inverse) * apart).sum(axis=1)
             yield pa.record_batch({
@@ -511,12 +550,9 @@ def _fit_beside(data: DataFrame, target: str, used: Sequence[str], wide: str, ma
     """
     others = [n for n in used if n != wide]
     design = build_design(data, target, others, max_columns)
-    medians = _design_medians(data, [n for n in others if is_numeric(data, n)])
-    sums = materialised(_level_sums(data, target, wide, design, medians))
+    sums = materialised(_level_sums(data, target, wide, design))
     levels, size = sums.count(), len(design.names) - 1
-    absorbed = np.zeros((size + 1, size + 1))
-    for row in sums.coalesce(16).mapInArrow(_outer_products, "sums binary, levels bigint").collect():
-        absorbed += np.frombuffer(row["sums"]).reshape(size + 1, size + 1)
+    absorbed = _products(sums, size)
     beta, inverse, own_rank, residual = _beside(design, absorbed)
     rank = levels + own_rank
     total = design.y_square - design.moment[0] ** 2 / design.n
@@ -529,14 +565,13 @@ def _fit_beside(data: DataFrame, target: str, used: Sequence[str], wide: str, ma
     terms.append((wide, "categorical", df, _number(without), _number(without / df) if df else None, _number(f_wide), f_tail(f_wide, df, dof),
                   _number(without / (without + residual)) if without + residual > 0 else None))
     first = sums.orderBy("level").first()
-    effects = sums.filter(F.col("level") != first["level"]).mapInArrow(
-        _level_effects(beta, inverse, sigma2, (first["n"], first["sy"], np.array(first["v"], float))), "level string, estimate double, std_error double")
+    effects = _effects_of_levels(sums.filter(F.col("level") != first["level"]), beta, inverse, sigma2, (first["n"], first["sy"], np.array(first["v"], float)))
     width, t = t_quantile(0.025, dof) if dof > 0 else math.nan, F.try_divide("estimate", "std_error")
     listed = effects.select(
         F.concat(F.lit(f"{wide}["), "level", F.lit("]")).alias("term"), "estimate", "std_error", t.alias("t_value"), t_p(t, F.lit(float(dof))).alias("p_value"),
         (F.col("estimate") - width * F.col("std_error")).alias("ci_low"), (F.col("estimate") + width * F.col("std_error")).alias("ci_high"))
     own = data.sparkSession.createDataFrame(_coefficients(design.names[1:], beta, inverse, sigma2, dof), COEFFICIENT_SCHEMA)
-    return summary, own.unionByName(listed).orderBy(F.asc_nulls_last("p_value"), "term"), _p_order(terms, 6)
+    return summary, _by_p_value(own.unionByName(listed), dof), _p_order(terms, 6)
 
 
 def _beside(design: Design, absorbed: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
@@ -560,8 +595,7 @@ def _fit_absorbed(data: DataFrame, target: str, used: Sequence[str], wide: Seque
     """
     others = [n for n in used if n not in wide]
     design = build_design(data, target, others, max_columns)
-    medians = _design_medians(data, [n for n in others if is_numeric(data, n)])
-    vectors = [*_design_columns(data, design, medians), c(target) - F.lit(design.y_shift)]
+    vectors = [*_design_columns(data, design), c(target) - F.lit(design.y_shift)]
     at = {w: f"w{i}" for i, w in enumerate(wide)}
     rows = data.select(*[F.coalesce(as_text(data, w), F.lit(MISSING_LABEL)).alias(k) for w, k in at.items()], *[v.alias(f"c{i}") for i, v in enumerate(vectors)])
     columns = [F.col(f"c{i}") for i in range(len(vectors))]
@@ -591,13 +625,13 @@ def _fit_absorbed(data: DataFrame, target: str, used: Sequence[str], wide: Seque
             own.unionByName(listed).orderBy(F.asc_nulls_last("p_value"), "term"), _p_order(terms, 6))
 
 
-def fit_wide(data: DataFrame, target: str, used: Sequence[str], max_columns: int) -> tuple[tuple, DataFrame, list[tuple]]:
+def fit_wide(data: DataFrame, target: str, used: Sequence[str], widths: Sequence[tuple[str, int]], max_columns: int) -> tuple[tuple, DataFrame, list[tuple]]:
     """Least squares with more levels than ``max_columns``: the widest label columns are absorbed until the others fit.
 
     The widest column always goes, a further one only with more than ``NARROW`` levels: steps over tables pay for wide columns
     alone. Narrow columns that don't fit ``max_columns`` together raise ``DesignTooWide``.
     """
-    widths, room, wide = _by_width(data, used), max_columns - 1, []
+    room, wide = max_columns - 1, []
     narrow = sum(d - 1 for _, d in widths) + len(used) - len(widths)
     for name, d in widths:
         if not wide or (narrow > room and d > NARROW):
@@ -628,12 +662,12 @@ def _varying(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [n for i, n in enumerate(features) if row[f"v{i}"]]
 
 
-def _unbuilt(df: DataFrame, warnings: DataFrame) -> Regression:
+def _unbuilt(df: DataFrame, warned: Callable[[], DataFrame]) -> Regression:
     spark = df.sparkSession
     summary = spark.createDataFrame([(False, 0, 0, None, None, None, None, None, None)], SUMMARY_SCHEMA)
     return Regression(
         summary, spark.createDataFrame([], COEFFICIENT_SCHEMA), spark.createDataFrame([], TERM_SCHEMA),
-        spark.createDataFrame([], CONCLUSION_SCHEMA), warnings,
+        spark.createDataFrame([], CONCLUSION_SCHEMA), warned,
     )
 
 
@@ -642,28 +676,29 @@ def multiple_regression(
 ) -> Regression:
     """Least squares of the target on every varying feature, with type-II terms."""
     if target not in df.columns:
-        return _unbuilt(df, warning_rows(df, [("missing_target", "warning", target, f"{target} is not in the table.", "Load the departures extract.")]))
+        return _unbuilt(df, lambda: warning_rows(df, [("missing_target", "warning", target, f"{target} is not in the table.", "Load the departures extract.")]))
     data = with_target(df, target)
     if not data.take(1):
-        return _unbuilt(df, warning_rows(df, [("target_all_missing", "warning", target, f"{target} has no numeric value.", "Clean the target.")]))
-    warnings = quality_warnings(data, roles).unionByName(target_outliers(data, target))
+        return _unbuilt(df, lambda: warning_rows(df, [("target_all_missing", "warning", target, f"{target} has no numeric value.", "Clean the target.")]))
+    warned = lambda: quality_warnings(data, roles).unionByName(target_outliers(data, target))
     features = features_of(data, target)
     if not features:
-        return _unbuilt(df, warnings.unionByName(warning_rows(df, [("no_features_available", "warning", None, "No predictors besides the target.", "Check the extract.")])))
+        return _unbuilt(df, lambda: warned().unionByName(warning_rows(df, [("no_features_available", "warning", None, "No predictors besides the target.", "Check the extract.")])))
     used = _varying(data, features)
     notes = [("feature_excluded_constant", "info", n, f"{n} does not vary and was left out.", "Use features that vary.") for n in features if n not in used]
     if not used:
         notes.append(("no_features_after_cleaning", "warning", None, "No predictor varies.", "Check the extract."))
-        return _unbuilt(df, warnings.unionByName(warning_rows(df, notes)))
+        return _unbuilt(df, lambda: warned().unionByName(warning_rows(df, notes)))
     try:
-        try:
+        widths = _by_width(data, used)
+        if sum(d - 1 for _, d in widths) + len(used) - len(widths) < max_columns:
             summary, coefficients, terms = fit(build_design(data, target, used, max_columns))
             coefficients = df.sparkSession.createDataFrame(coefficients, COEFFICIENT_SCHEMA)
-        except DesignTooWide:
-            summary, coefficients, terms = fit_wide(data, target, used, max_columns)
+        else:
+            summary, coefficients, terms = fit_wide(data, target, used, widths, max_columns)
     except (DesignTooWide, NotConverged, np.linalg.LinAlgError) as error:
         notes.append(("multiple_regression_fit_failed", "error", None, f"The model was not fitted: {error}.", "Group wide or collinear features."))
-        return _unbuilt(df, warnings.unionByName(warning_rows(df, notes)))
+        return _unbuilt(df, lambda: warned().unionByName(warning_rows(df, notes)))
     if summary[1] < max(20, 3 * summary[2]):
         notes.append(("low_sample_for_multivariate_model", "warning", None, f"Only {summary[1]} rows for {summary[2]} features.", "Simplify the model."))
     spark = df.sparkSession
@@ -675,7 +710,7 @@ def multiple_regression(
     return Regression(
         spark.createDataFrame([summary], SUMMARY_SCHEMA), coefficients,
         spark.createDataFrame(terms, TERM_SCHEMA), spark.createDataFrame(conclusions, CONCLUSION_SCHEMA),
-        warnings.unionByName(warning_rows(df, notes)), True,
+        lambda: warned().unionByName(warning_rows(df, notes)), True,
     )
 
 
