@@ -186,21 +186,32 @@ def build_segments(
 ) -> Segments:
     """Fold small segments into one label and take training medians, all families in one pass."""
     families = _families(split, families)
-    raw = labelled(split.rows, families, ["y", "is_test"])
-    cells = materialised(raw.groupBy("family", "label", "is_test", "y").agg(F.count("*").alias("w")))
-    sizes = segment_sizes(cells, train_rows, holdout_rows, holdout_blind).persist()
-    flags = sizes.select("family", "label", "representative", (F.col("train_count") + F.col("test_count")).alias("rows"))
-    segment = F.when(F.col("representative"), F.col("label")).otherwise(F.lit(OTHER_LABEL))
+    columns = list(dict.fromkeys(n for f in families for n in f.columns))
+    joint = split.rows.groupBy(*[c(n) for n in columns], "is_test").agg(F.count("*").alias("w"))
+    sizes = materialised(segment_sizes(labelled(joint, families, ["is_test", "w"]), train_rows, holdout_rows, holdout_blind))
+    # Values are counted once small labels are folded, so that only segments that stay apart have cells of their own.
     folded = materialised(
-        attach(cells, flags, ["family", "label"], "rows").withColumn("segment", segment)
-        .groupBy("family", "segment", "is_test", "y").agg(F.sum("w").alias("w"))
+        in_segments(labelled(split.rows, families, ["y", "is_test"]), sizes)
+        .groupBy("family", "segment", "is_test", "y").agg(F.count("*").alias("w"))
     )
     medians = quantiles(folded.filter(~F.col("is_test")), ["family", "segment"], "y", {"median": 0.5}, weight="w").persist()
     if baseline is None:
-        baseline = baseline_median(split)
+        baseline = _baseline(folded, families) if families else baseline_median(split)
     return Segments(tuple(families), sizes, folded, medians, baseline)
 
 
+def _baseline(cells: DataFrame, families: Sequence[Family]) -> float:
+    """Training median, from the cells of the first family: each family has all rows."""
+    own = cells.filter((F.col("family") == families[0].key) & ~F.col("is_test")).groupBy("y").agg(F.sum("w").alias("w"))
+    return quantiles(own, [], "y", {"m": 0.5}, weight="w").first()["m"]
+
+
+def in_segments(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of ``labelled`` with their ``segment``. Only representative labels are looked up; all others are folded."""
+    apart = sizes.filter("representative").select("family", "label", F.col("label").alias("segment"), (F.col("train_count") + F.col("test_count")).alias("__rows"))
+    return attach(rows, apart, ["family", "label"], "__rows").withColumn("segment", F.coalesce("segment", F.lit(OTHER_LABEL)))
+
+
 def heuristic_cells(segments: Segments) -> DataFrame:
     """Predicted median per cell; a segment without training rows falls back to the baseline."""
     weighted = segments.cells.groupBy("family", "segment").agg(F.sum("w").alias("rows"))
@@ -264,15 +275,16 @@ def tier_usage(predicted: DataFrame) -> DataFrame:
 def family_rows(split: Split, segments: Segments, chosen: Family) -> DataFrame:
     """Row-level predictions of one family."""
     rows = split.rows.withColumn("label", segment_label(chosen.columns))
-    sizes = segments.sizes.filter(F.col("family") == chosen.key)
+    sizes = segments.sizes.filter((F.col("family") == chosen.key) & F.col("representative"))
     medians = segments.medians.filter(F.col("family") == chosen.key).select("segment", "median")
-    named = sizes.select(
-        "label", F.when(F.col("representative"), F.col("label")).otherwise(F.lit(OTHER_LABEL)).alias("segment"),
-        (F.col("train_count") + F.col("test_count")).alias("__rows"),
-    )
-    lookup = named.join(medians, "segment", "left").drop("segment")
+    named = sizes.select("label", (F.col("train_count") + F.col("test_count")).alias("__rows"))
+    lookup = named.join(medians.withColumnRenamed("segment", "label"), "label", "left").select(
+        "label", F.coalesce("median", F.lit(segments.baseline)).alias("median"), "__rows")
+    # A label that isn't looked up is folded, and folded labels share one median.
+    folded = medians.filter(F.col("segment") == OTHER_LABEL).first()
+    rest = segments.baseline if folded is None or folded["median"] is None else folded["median"]
     placed = attach(rows, lookup, ["label"], "__rows")
-    return placed.withColumn("predicted", F.coalesce("median", F.lit(segments.baseline))).drop("label", "median")
+    return placed.withColumn("predicted", F.coalesce("median", F.lit(rest))).drop("label", "median")
 
 
 def heuristic_table(split: Split, segments: Segments) -> DataFrame:
@@ -282,9 +294,9 @@ def heuristic_table(split: Split, segments: Segments) -> DataFrame:
         [(f.key, f"Heuristic Median - {f.label}", f.label) for f in segments.families], "family string, model_name string, family_label string"
     )
     own = metrics.join(F.broadcast(names), "family")
-    collapsed = backoff_rows(split, segments, metrics).groupBy("is_test", "y", "predicted").agg(F.count("*").alias("w"))
+    collapsed = materialised(backoff_rows(split, segments, metrics).groupBy("is_test", "y", "predicted").agg(F.count("*").alias("w")))
     layered = regression_metrics(collapsed, ["is_test"], segments.baseline, weight="w")
-    flat = split.rows.groupBy("is_test", "y").agg(F.count("*").alias("w")).withColumn("predicted", F.lit(segments.baseline))
+    flat = collapsed.groupBy("is_test", "y").agg(F.sum("w").alias("w")).withColumn("predicted", F.lit(segments.baseline))
     floor = regression_metrics(flat, ["is_test"], segments.baseline, weight="w")
 
     def named(df: DataFrame, key: str, name: str, label: str) -> DataFrame:
@@ -303,10 +315,7 @@ def segment_report(
 ) -> DataFrame:
     """Errors per holdout segment of several prediction columns of ``scored`` (holdout rows of the split)."""
     rows = labelled(scored.filter("is_test"), segments.families, ["y", *predictions])
-    flags = segments.sizes.select("family", "label", "representative", F.col("test_count").alias("__rows"))
-    segment = F.when(F.col("representative"), F.col("label")).otherwise(F.lit(OTHER_LABEL))
-    placed = attach(rows, flags, ["family", "label"], "__rows").withColumn("segment", segment)
-    errors = placed.groupBy("family", "segment").agg(
+    errors = in_segments(rows, segments.sizes).groupBy("family", "segment").agg(
         F.avg("y").alias("actual_mean"),
         *[F.avg(F.abs(F.col("y") - c(p))).alias(f"{p}_mae") for p in predictions],
         F.avg(F.abs(F.col("y") - F.lit(segments.baseline))).alias("baseline_mae"),
