@@ -142,7 +142,7 @@ def group_tests(df: DataFrame, target: str, features: Sequence[str], small: bool
     groups = placed.groupBy("feature", "level").agg(
         F.sum(w).alias("n"), F.sum(w * z).alias("s"), F.sum(w * z * z).alias("ss"), F.sum(w * F.col("rank")).alias("ranks")
     )
-    spread = placed.groupBy("feature").agg(F.sum(w * F.col("rank") * F.col("rank")).alias("rank_spread"))
+    spread = ranks.groupBy("feature").agg(F.sum(F.col("ties") * F.col("rank") * F.col("rank")).alias("rank_spread"))
     sums = groups.groupBy("feature").agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
         F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between_raw"),
@@ -185,7 +185,8 @@ def by_effect(tests: DataFrame) -> DataFrame:
 
 
 def test_warnings(tests: DataFrame) -> DataFrame:
-    column = F.col("feature")
+    # One row per feature, computed once for all three warnings.
+    tests, column = materialised(tests.select("feature", "feature_type", "n", "n_groups", "small_groups")), F.col("feature")
     few = tests.filter((F.col("feature_type") == "numeric") & (F.col("n") < 3)).select(
         *as_warning("too_few_rows", "warning", column, F.concat(column, F.lit(": too few rows for a slope test.")), "Collect more rows."))
     alone = tests.filter((F.col("feature_type") == "categorical") & (F.col("n_groups") < 2)).select(
