@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,16 +67,16 @@ def explore(df: DataFrame, roles: Roles = Roles()) -> Exploration:
     )
 
 
-def variable_dictionary(df: DataFrame, dictionary: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+def variable_dictionary(df: DataFrame, dictionary: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
     """Documented and observed variables with their type, missing share and distinct values.
 
-    Observed columns without an entry get the supporting role.
+    Observed columns without an entry get the supporting role. ``summary`` holds the figures of every column, if known.
     """
     spark = df.sparkSession
     dictionary = dictionary if dictionary is not None else spark.createDataFrame([], DICTIONARY_SCHEMA)
     types = spark.createDataFrame(
         [(n, t, is_technical(n)) for n, t in df.dtypes], "column string, observed_type string, technical boolean")
-    summary = column_summary(counts if counts is not None else value_counts(df, df.columns)).select(
+    summary = (summary if summary is not None else column_summary(value_counts(df, df.columns))).select(
         "column", F.round(F.col("missing") / F.col("n_rows") * 100.0, 4).alias("missing_pct"), "distinct_values")
     joined = types.join(dictionary.withColumn("documented", F.lit(True)), "column", "left").join(summary, "column", "left")
     return joined.filter(F.col("documented") | ~F.col("technical")).select(
@@ -86,65 +87,125 @@ def variable_dictionary(df: DataFrame, dictionary: DataFrame | None = None, coun
 
 @dataclass(frozen=True)
 class SourceSection:
-    overview: DataFrame
-    identifiers: DataFrame
-    dictionary: DataFrame
-    findings: DataFrame
-    numeric: DataFrame
-    histogram: DataFrame
-    categorical: DataFrame
-    top_values: DataFrame
-    correlations: DataFrame
-    target_rankings: DataFrame | None
-    group_tests: DataFrame | None
-    boxes: DataFrame | None
-    associations: DataFrame
-    preview: DataFrame
-    periods: DataFrame | None
-    sample: DataFrame
-    warnings: DataFrame
+    """Audit, quality, univariate, bivariate and temporal tables of one source, each computed when it is first read.
+
+    The raw table feeds the audit, the imputed one the statistics. Tables without a target or period are None.
+    """
+
+    raw: DataFrame
+    analysis: DataFrame
+    source: str
+    roles: Roles = Roles()
+    pipeline_warnings: DataFrame | None = None
+    documented: DataFrame | None = None
+
+    @property
+    def target(self) -> str | None:
+        return self.roles.target if self.roles.target in self.analysis.columns else None
+
+    @cached_property
+    def raw_counts(self) -> DataFrame:
+        return value_counts(self.raw).persist()
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Counted once where the statistics read the raw table too."""
+        return self.raw_counts if self.analysis is self.raw else value_counts(self.analysis).persist()
+
+    @cached_property
+    def column_figures(self) -> DataFrame:
+        """Summary of every raw column. The values of technical ones, mostly keys, are counted but not kept."""
+        own = column_summary(self.raw_counts)
+        hidden = [n for n in self.raw.columns if is_technical(n)]
+        return (own.unionByName(column_summary(value_counts(self.raw, hidden))) if hidden else own).persist()
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return profile.numeric_summary(self.analysis).persist()
+
+    @cached_property
+    def tests(self) -> DataFrame | None:
+        return inference.feature_tests(self.analysis, self.target).persist() if self.target else None
+
+    @cached_property
+    def overview(self) -> DataFrame:
+        return quality.source_overview(self.raw)
+
+    @cached_property
+    def identifiers(self) -> DataFrame:
+        return self.column_figures.filter(F.col("distinct_values") == F.col("n_rows")).select("column", "distinct_values")
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        return variable_dictionary(self.raw, self.documented, summary=self.column_figures)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return quality.quality_findings(self.raw, self.roles, self.raw_counts)
+
+    @cached_property
+    def numeric(self) -> DataFrame:
+        spread = F.when(F.col("mean") != 0, F.try_divide(F.col("std"), F.col("mean")))
+        return self.summary.filter(F.col("min") != F.col("max")).withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("coefficient_variation", spread)
+
+    @cached_property
+    def histogram(self) -> DataFrame:
+        return profile.histogram(self.analysis, summary=self.summary)
+
+    @cached_property
+    def categorical(self) -> DataFrame:
+        return profile.categorical_profile(self.analysis, self.counts)
+
+    @cached_property
+    def top_values(self) -> DataFrame:
+        return profile.top_categories(self.analysis, counts=self.counts)
+
+    @cached_property
+    def correlations(self) -> DataFrame:
+        return association.correlation_matrix(self.analysis)
+
+    @cached_property
+    def target_rankings(self) -> DataFrame | None:
+        return association.target_rankings(self.analysis, self.target) if self.target else None
+
+    @cached_property
+    def group_tests(self) -> DataFrame | None:
+        return self.tests.filter(F.col("feature_type") == "categorical") if self.target else None
+
+    @cached_property
+    def boxes(self) -> DataFrame | None:
+        return inference.box_groups(self.analysis, self.target, self.tests) if self.target else None
+
+    @cached_property
+    def associations(self) -> DataFrame:
+        return association.chi2_pairs(self.analysis, association.eligible_labels(self.analysis, self.counts)).persist()
+
+    @cached_property
+    def preview(self) -> DataFrame:
+        return association.contingency_preview(self.analysis, self.associations)
+
+    @cached_property
+    def periods(self) -> DataFrame | None:
+        return profile.period_counts(self.raw, self.roles.period) if self.roles.period in self.raw.columns else None
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        return sample_rows(self.raw, self.roles.key if self.roles.key in self.raw.columns else self.raw.columns[0])
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        warned = quality.quality_warnings(self.raw, self.roles, self.raw_counts)
+        if self.pipeline_warnings is not None:
+            warned = warned.unionByName(quality.route_pipeline_warnings(self.pipeline_warnings, self.source))
+        return quality.dedupe_warnings(warned)
 
 
 def source_section(
     raw: DataFrame, analysis: DataFrame, source: str, roles: Roles = Roles(),
     pipeline_warnings: DataFrame | None = None, dictionary: DataFrame | None = None,
 ) -> SourceSection:
-    """Audit, quality, univariate, bivariate and temporal tables of one source.
-
-    The raw table feeds the audit, the imputed one the statistics.
-    """
-    raw_counts = value_counts(raw, raw.columns).persist()
-    counts = value_counts(analysis).persist()
-    names = analytical_columns(raw)
-    own_counts = raw_counts.filter(F.col("column").isin(*names))
-    summary = profile.numeric_summary(analysis).persist()
-    target = roles.target if roles.target in analysis.columns else None
-    tests = inference.feature_tests(analysis, target).persist() if target else None
-    pairs = association.chi2_pairs(analysis, association.eligible_labels(analysis, counts)).persist()
-    warned = quality.quality_warnings(raw, roles, own_counts)
-    if pipeline_warnings is not None:
-        warned = warned.unionByName(quality.route_pipeline_warnings(pipeline_warnings, source))
-    distinct = column_summary(raw_counts)
-    spread = F.when(F.col("mean") != 0, F.try_divide(F.col("std"), F.col("mean")))
-    return SourceSection(
-        quality.source_overview(raw),
-        distinct.filter(F.col("distinct_values") == F.col("n_rows")).select("column", "distinct_values"),
-        variable_dictionary(raw, dictionary, raw_counts),
-        quality.quality_findings(raw, roles, own_counts),
-        summary.filter(F.col("min") != F.col("max")).withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("coefficient_variation", spread),
-        profile.histogram(analysis, summary=summary),
-        profile.categorical_profile(analysis, counts),
-        profile.top_categories(analysis, counts=counts),
-        association.correlation_matrix(analysis),
-        association.target_rankings(analysis, target) if target else None,
-        tests.filter(F.col("feature_type") == "categorical") if target else None,
-        inference.box_groups(analysis, target, tests) if target else None,
-        pairs,
-        association.contingency_preview(analysis, pairs),
-        profile.period_counts(raw, roles.period) if roles.period in raw.columns else None,
-        sample_rows(raw, roles.key if roles.key in raw.columns else raw.columns[0]),
-        quality.dedupe_warnings(warned),
-    )
+    """Section of one source; ``dictionary`` holds its documented variables."""
+    return SourceSection(raw, analysis, source, roles, pipeline_warnings, dictionary)
 
 
 @dataclass(frozen=True)
