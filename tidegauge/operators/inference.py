@@ -30,7 +30,7 @@ from tidegauge.operators.profile import box_stats
 from tidegauge.operators.quality import as_warning, empty_warnings, quality_warnings, warning_rows
 from tidegauge.plans.counts import long_numbers
 from tidegauge.plans.ordered import average_rank, ordered_counts, quantiles
-from tidegauge.plans.sizing import attach, checkpointed, is_small, materialised, rows_of
+from tidegauge.plans.sizing import attach, is_small, materialised, rows_of
 
 # Fixed values of the reporting rules.
 SMALL_GROUP, OUTLIER_SHARE, SIGNIFICANT = 5, 0.05, 0.05
@@ -38,6 +38,8 @@ BOX_FEATURES, TERMS_NAMED = 3, 3
 MAX_DESIGN = 1_000
 #: Levels of a label column that stays in the design beside several wide ones.
 NARROW = 32
+#: Times ``max_columns`` beyond which an estimate of a column's levels does; rows looked at before a column is searched for a second value.
+SURELY_WIDE, SHOWN = 50, 100
 #: Columns beside an eliminated one up to which its levels are handled by expressions, without Python.
 FEW = 8
 INFINITE = float("inf")
@@ -438,14 +440,20 @@ def _term_rows(terms_of, beta, inverse, sigma2: float, dof: int, residual: float
     return terms
 
 
-def _by_width(data: DataFrame, features: Sequence[str]) -> list[tuple[str, int]]:
-    """Label columns and their levels, widest first."""
+def _by_width(data: DataFrame, features: Sequence[str], max_columns: int) -> list[tuple[str, int]]:
+    """Label columns and their levels, widest first. Levels are counted, but for columns so wide that an estimate tells all that hangs on it."""
     labels = [n for n in features if not is_numeric(data, n)]
     if not labels:
         return []
-    parts = [p for n in labels for p in (F.lit(n), F.coalesce(as_text(data, n), F.lit(MISSING_LABEL)))]
-    distinct = data.select(F.stack(F.lit(len(labels)), *parts).alias("feature", "level")).distinct()
-    return [(r["feature"], r["d"]) for r in distinct.groupBy("feature").agg(F.count("*").alias("d")).orderBy(F.desc("d"), "feature").collect()]
+    texts, widths = {n: F.coalesce(as_text(data, n), F.lit(MISSING_LABEL)) for n in labels}, {}
+    if not is_small(data):
+        guess = data.agg(*[F.approx_count_distinct(texts[n]) for n in labels]).first()
+        widths = {n: d for n, d in zip(labels, guess) if d > SURELY_WIDE * max_columns}
+    parts = [p for n in labels if n not in widths for p in (F.lit(n), texts[n])]
+    if parts:
+        distinct = data.select(F.stack(F.lit(len(parts) // 2), *parts).alias("feature", "level")).distinct()
+        widths |= {r["feature"]: r["d"] for r in distinct.groupBy("feature").agg(F.count("*").alias("d")).collect()}
+    return sorted(widths.items(), key=lambda w: (-w[1], w[0]))
 
 
 def _design_medians(data: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
@@ -608,19 +616,18 @@ def _fit_absorbed(data: DataFrame, target: str, used: Sequence[str], wide: Seque
     terms = _term_rows({k: (kind, tuple(i - 1 for i in i_at)) for k, (kind, i_at) in design.terms.items()}, beta, inverse, sigma2, dof, residual)
     names = {k: w for w, k in at.items()}
     for key, rest in without_each(list(at.values())):
-        less = absorb(rows, rest, columns)
+        less = whole.alone[rest[0]] if len(rest) == 1 else absorb(rows, rest, columns)
         _, _, less_rank, more = _beside(design, less.products)
         df, added = float(rank - less.rank - less_rank), max(more - residual, 0.0)
         f_term = added / df / sigma2 if df > 0 and sigma2 > 0 else None
         terms.append((names[key], "categorical", df, _number(added), _number(added / df) if df else None, _number(f_term), f_tail(f_term, df, dof),
                       _number(added / (added + residual)) if added + residual > 0 else None))
     effect = F.get("x", len(beta)) - sum((F.lit(float(v)) * F.get("x", i) for i, v in enumerate(beta)), F.lit(0.0))
-    levels = checkpointed(whole.effects.select("axis", "level", effect.alias("effect")))
-    first = levels.groupBy("axis").agg(F.min_by("effect", "level").alias("base"), F.min("level").alias("base_level"))
-    empty = F.lit(None).cast("double")
-    listed = levels.join(F.broadcast(first), "axis").filter("level <> base_level").select(
+    bases = [F.struct(F.lit(level).alias("level"), F.lit(float(x[-1] - x[:-1] @ beta)).alias("effect")) for level, x in whole.lowest]
+    empty, levels = F.lit(None).cast("double"), whole.effects.select("axis", "level", effect.alias("effect"), F.get(F.array(*bases), F.col("axis")).alias("base"))
+    listed = levels.filter("level <> base.level").select(
         F.concat(F.get(F.array(*[F.lit(w) for w in wide]), F.col("axis")), F.lit("["), "level", F.lit("]")).alias("term"),
-        (F.col("effect") - F.col("base")).alias("estimate"), *[empty.alias(n) for n in ("std_error", "t_value", "p_value", "ci_low", "ci_high")])
+        (F.col("effect") - F.col("base.effect")).alias("estimate"), *[empty.alias(n) for n in ("std_error", "t_value", "p_value", "ci_low", "ci_high")])
     own = data.sparkSession.createDataFrame(_coefficients(design.names[1:], beta, inverse, sigma2, dof), COEFFICIENT_SCHEMA)
     return (_summary(design.n, len(used), total, residual, rank, dof),
             own.unionByName(listed).orderBy(F.asc_nulls_last("p_value"), "term"), _p_order(terms, 6))
@@ -659,8 +666,14 @@ def _explained(design: Design) -> float:
 
 
 def _varying(df: DataFrame, features: Sequence[str]) -> list[str]:
-    row = df.agg(*[(F.min(present(df, n)) != F.max(present(df, n))).alias(f"v{i}") for i, n in enumerate(features)]).first()
-    return [n for i, n in enumerate(features) if row[f"v{i}"]]
+    """Features with different values. Most show them in a few rows; only the others are read in full."""
+    values = df.select(*[present(df, n).alias(f"v{i}") for i, n in enumerate(features)])
+    shown = [[v for v in column if v is not None] for column in zip(*values.limit(SHOWN).collect())]
+    varies = {n: any(v != column[0] for v in column) for n, column in zip(features, shown)}
+    if open_ := [i for i, n in enumerate(features) if not varies[n]]:
+        row = values.agg(*[(F.min(f"v{i}") != F.max(f"v{i}")).alias(f"v{i}") for i in open_]).first()
+        varies |= {features[i]: row[f"v{i}"] for i in open_}
+    return [n for n in features if varies[n]]
 
 
 def _unbuilt(df: DataFrame, warned: Callable[[], DataFrame]) -> Regression:
@@ -691,7 +704,7 @@ def multiple_regression(
         notes.append(("no_features_after_cleaning", "warning", None, "No predictor varies.", "Check the extract."))
         return _unbuilt(df, lambda: warned().unionByName(warning_rows(df, notes)))
     try:
-        widths = _by_width(data, used)
+        widths = _by_width(data, used, max_columns)
         if sum(d - 1 for _, d in widths) + len(used) - len(widths) < max_columns:
             summary, coefficients, terms = fit(build_design(data, target, used, max_columns))
             coefficients = df.sparkSession.createDataFrame(coefficients, COEFFICIENT_SCHEMA)
