@@ -457,11 +457,9 @@ def _by_width(data: DataFrame, features: Sequence[str], max_columns: int) -> lis
 
 
 def _design_medians(data: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
-    """What fills the gaps of a numeric column: its median, or 0 where there is no gap to fill."""
     medians = {n: 0.0 for n in numeric}
-    row = data.agg(*[F.bool_or(present(data, n).cast("double").isNull()) for n in numeric]).first() if numeric else []
-    if gaps := [n for n, empty in zip(numeric, row) if empty]:
-        found = quantiles(long_numbers(data, gaps), ["column"], "value", {"m": 0.5}, small=is_small(data))
+    if numeric:
+        found = quantiles(long_numbers(data, numeric), ["column"], "value", {"m": 0.5}, small=is_small(data))
         medians |= {r["column"]: float(r["m"] or 0.0) for r in found.collect()}
     return medians
 
